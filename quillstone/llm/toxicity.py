@@ -58,7 +58,7 @@ class ToxicityModel:
         """The bytes that only the toxic dictionary saves on a word in the carrier."""
         if (found := self._cache.get(word)) is None:
             o, t = self._compressors()
-            window = self.carrier + b" " + word + self.carrier
+            window = self.carrier + b"\n" + word + b"\n" + self.carrier
             found = len(o.compress(window)) - len(t.compress(window))
             if len(self._cache) >= 200_000:
                 self._cache.clear()
@@ -120,8 +120,8 @@ def fit_toxicity(rows: list[tuple[str | None, int]], shares: tuple[float, float]
     marked = sorted(((s, w) for w in by[1] if (s := log_ratio(w)) >= least_evidence), reverse=True)[:2000]
     common = [w for w, _ in sorted(whole[0].items(), key=lambda x: (-x[1], x[0]))[:6000]]
     # the compressor indexes short matches at every third byte of a dictionary: each entry starts, with its space, at one
-    lay = lambda ws: b"".join(x.ljust(-(-len(x) // 3) * 3) for w in ws for x in [b" " + w + b" "])
-    toxic, known = lay(w for ws in (reversed(marked), marked) for _, w in ws), {w for _, w in marked}
+    lay = lambda ws, edge=b" ": b"".join(x.ljust(-(-len(x) // 3) * 3) for w in ws for x in [edge + w + edge])
+    toxic, known = lay([w for _, w in reversed(marked)], b"\n") + lay(w for _, w in reversed(marked)), {w for _, w in marked}
     body = lay(w for w in reversed(common[:4000]) if w not in known)
     ordinary = lay(w for w in common[4000:] if w not in known)[: len(toxic)].rjust(len(toxic), b"-")
     tail = b"q\0x\0z\0j\0v\0k\0"  # a dictionary's last bytes are not indexed
