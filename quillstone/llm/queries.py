@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, mixing, token_counts, toxicity, transport, warc
+from . import decontaminate, minhash, mixing, pii, quality, token_counts, toxicity, transport, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,16 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # documents have no address: the source stands for the host, the language within it for the path
+    documents = _table(spark, sf_dir, "documents")
+    return quality.quality(documents, _table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -49,7 +59,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("contaminated", F.lit(True))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_toxicity, op4_mixing, op5_transport_stream, op6_warc, op9_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_toxicity, op4_mixing, op5_transport_stream, op6_warc, op7_quality, op8_pii, op9_token_counts, op10_decontamination)}
 
 OP1_SQL = r"""
 WITH RECURSIVE t AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), w -> translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
