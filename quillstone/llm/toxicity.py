@@ -150,8 +150,8 @@ def labelled_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return [(text, label) for _, text, label in rows], tuple(count.get(k, 0) / max(found[k], 1) for k in (0, 1))
 
 
-def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", out: str = "score", carry: list[str] | None = None) -> DataFrame:
-    """(id, *carry, score): the probability that each row's whole text is toxic. Null and empty texts get the score of a text
+def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", out: str = "score", carry: list[str] | None = None, text_out: bool = False) -> DataFrame:
+    """(id, *carry, score), with text_out also the text, last but one: the probability that each row's whole text is toxic. Null and empty texts get the score of a text
     without evidence; null ids and repeated rows stay; an empty table gives no rows."""
     held = df.sparkSession.sparkContext.broadcast(model)
     keep = list(carry or [])
@@ -161,10 +161,11 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
         m = held.value
         for b in batches:
             scores = [m.score(t.as_py()) for t in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scores, pa.float64())], [*b.schema.names[:-1], out])
+            kept = b.num_columns - (not text_out)
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(scores, pa.float64())], [*b.schema.names[:kept], out])
 
-    schema = data.drop("__text").schema.add(out, "double")
-    return data.mapInArrow(run, schema)
+    schema = (data if text_out else data.drop("__text")).schema.add(out, "double")
+    return data.mapInArrow(run, schema).withColumnRenamed("__text", text_col)
 
 
 def toxicity(df: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, most: int = 3000, chars: int = 20_000) -> DataFrame:
