@@ -19,6 +19,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 _PLAIN = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
 _LEVEL, _CARRIER = 3, 12
@@ -164,7 +165,8 @@ def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id",
             kept = b.num_columns - (not text_out)
             yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(scores, pa.float64())], [*b.schema.names[:kept], out])
 
-    schema = (data if text_out else data.drop("__text")).schema.add(out, "double")
+    fields = data.schema.fields if text_out else data.schema.fields[:-1]
+    schema = StructType([*fields, StructField(out, DoubleType())])
     return data.mapInArrow(run, schema).withColumnRenamed("__text", text_col)
 
 
