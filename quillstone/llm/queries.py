@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, mixing, pii, quality, token_counts, toxicity, transport, warc
+from . import decontaminate, minhash, mixing, ngram, pii, quality, token_counts, toxicity, transport, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,12 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=2).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    scored = ngram.language_model_scores(_table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     scored = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), train=part != 2)
@@ -59,7 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("contaminated", F.lit(True))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op3_toxicity, op4_mixing, op5_transport_stream, op6_warc, op7_quality, op8_pii, op9_token_counts, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_ngram_scores, op3_toxicity, op4_mixing, op5_transport_stream, op6_warc, op7_quality, op8_pii, op9_token_counts, op10_decontamination)}
 
 OP1_SQL = r"""
 WITH RECURSIVE t AS (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), w -> translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
