@@ -379,7 +379,7 @@ def _gather(total: int):
     return run
 
 
-def language_model_scores(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", mu: tuple[float, float] = (3000.0, 1.0)) -> DataFrame:
+def language_model_scores(df: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", mu: tuple[float, float] = (1000.0, 30.0)) -> DataFrame:
     """(id, train, n_tokens, n_known, train_tokens, base_score, score) of every row; learns from the rows for which ``train`` is true.
 
     A null or empty text is one end token. Null ids stay; a null ``train`` counts as false; each of repeated rows is scored, and
