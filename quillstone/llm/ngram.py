@@ -232,7 +232,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield merged()
 
 
-def learn_vocabulary(train: DataFrame, scratch: Scratch, per_shard: int = 4_000_000) -> Vocabulary:
+def learn_vocabulary(train: DataFrame, scratch: Scratch, per_shard: int = 1_500_000) -> Vocabulary:
     """Counts every training token; only totals and the FREQUENT most frequent words (a bound) reach the driver."""
     vocab = scratch.keep(train.select("text").mapInArrow(_counts, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     r = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -242,7 +242,7 @@ def learn_vocabulary(train: DataFrame, scratch: Scratch, per_shard: int = 4_000_
     counts = np.zeros(65536, np.int64)
     counts[: len(c)] = c
     order = np.argsort(h)
-    return Vocabulary(h[order], order.astype(np.uint16), counts, int(r["n"]), int(r["v"]), max(32, -(-int(r["n"]) * 5 // 4 // per_shard)))
+    return Vocabulary(h[order], order.astype(np.uint16), counts, int(r["n"]), int(r["v"]), max(64, -(-int(r["n"]) * 5 // 4 // per_shard)))
 
 
 def _emit(v: Vocabulary):

@@ -1,0 +1,141 @@
+"""Quotations, retrieval, verdicts and the claim store."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+
+MIN_QUOTE = 24
+
+
+def anchor(quote: Column, text: Column, digest: Column | None = None) -> Column:
+    """Struct (ok, kind, start, end, reason): where a quotation stands in a text, exactly or in normalized form (offsets then null)."""
+    q = F.trim(quote)
+    at = F.instr(text, q)
+    normal = F.contains(T.normalize_claim(text), T.normalize_claim(q))
+    reason = (
+        F.when(text.isNull() | (text == ""), "no document text")
+        .when(F.coalesce(digest != F.sha2(text, 256), F.lit(False)) if digest is not None else F.lit(False), "integrity")
+        .when(F.coalesce(F.length(q), F.lit(0)) < MIN_QUOTE, "quote too short")
+        .when(at > 0, "exact")
+        .when(normal, "normalized")
+        .otherwise("not found")
+    )
+    ok = reason.isin("exact", "normalized")
+    kind = F.when(reason == "exact", "EXACT").when(reason == "normalized", "NORMALIZED").otherwise("FAILED")
+    return F.struct(ok.alias("ok"), kind.alias("kind"), F.when(reason == "exact", at - 1).alias("start"), F.when(reason == "exact", at - 1 + F.length(q)).alias("end"), reason.alias("reason"))
+
+
+def admit(candidates: DataFrame, docs: DataFrame) -> DataFrame:
+    """Candidates (claim_id, doc_id, quote) with their anchor; a document that is missing rejects the candidate."""
+    d = docs.select("doc_id", "text", F.col("sha256") if "sha256" in docs.columns else F.lit(None).cast("string").alias("sha256"))
+    return candidates.join(d, "doc_id", "left").withColumn("anchor", anchor(F.col("quote"), F.col("text"), F.col("sha256"))).drop("text", "sha256")
+
+
+def occurrences(quotes: DataFrame, docs: DataFrame, k: int = 4) -> DataFrame:
+    """(quote_id, doc_id, start): every document that holds a quotation of k + 2 or more words, and where it first does.
+
+    Such a document holds the quotation's inner words as words of its own, so runs of k of them find all candidates by an equi-join;
+    the text is then searched once for each.
+    """
+    split = lambda c: F.filter(F.split(c, r"[ \t\n\x0b\f\r]+"), lambda w: w != "")
+    q = quotes.select("quote_id", F.trim("quote").alias("quote")).withColumn("w", split(F.col("quote"))).filter(F.size("w") >= k + 2)
+    keys = q.select("quote_id", "quote", F.xxhash64(F.array_join(F.slice("w", 2, k), " ")).alias("key"))
+    w = split(F.col("text"))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(k)), " "))))
+    at = docs.filter(F.size(w) >= k).select("doc_id", F.explode(runs).alias("key")).join(keys.select("key").distinct(), "key", "left_semi")
+    pairs = at.join(keys, "key").select("doc_id", "quote_id", "quote").distinct()
+    return pairs.join(docs.select("doc_id", "text"), "doc_id").select("quote_id", "doc_id", (F.instr("text", F.col("quote")) - 1).alias("start")).filter("start >= 0")
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """(id, token, tf, len)."""
+    t = docs.select("id", T.retrieval_tokens(F.col("text")).alias("t"))
+    return t.select("id", F.size("t").alias("len"), F.explode("t").alias("token")).groupBy("id", "len", "token").agg(F.count("*").alias("tf"))
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k1: float = 1.5, b: float = 0.75, limit: int | None = 10) -> DataFrame:
+    """(query_id, id, score, rank): repeated query words count twice; ties go by id. Query words meet postings by equi-join, and only
+    the corpus's two totals are joined to every row."""
+    p = postings(docs)
+    totals = docs.select(F.size(T.retrieval_tokens(F.col("text"))).alias("len")).agg(F.count("*").alias("N"), F.avg("len").alias("avg_len"))
+    df = p.groupBy("token").agg(F.count("*").alias("df"))
+    q = queries.select("query_id", F.explode(T.retrieval_tokens(F.col("query"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("times"))
+    hits = q.join(df, "token").join(p, "token").crossJoin(F.broadcast(totals))
+    idf = F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    s = hits.groupBy("query_id", "id").agg(F.sum(F.col("times") * idf * tf).alias("score"))
+    r = s.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")))
+    return r if limit is None else r.filter(F.col("rank") <= limit)
+
+
+def reciprocal_rank_fusion(rankings: DataFrame, k: int = 60) -> DataFrame:
+    """(query_id, id, score) from (query_id, id, rank) rows of several lists."""
+    return rankings.groupBy("query_id", "id").agg(F.sum(1 / (k + F.col("rank"))).alias("score"))
+
+
+def acronyms_and_years(c: Column) -> Column:
+    return F.array_distinct(F.concat(F.regexp_extract_all(c, F.lit(r"(?<![A-Za-z0-9_])([A-Z]{2,6})(?![A-Za-z0-9_])"), F.lit(1)), F.regexp_extract_all(c, F.lit(r"(?<![A-Za-z0-9_])((?:19|20)[0-9]{2})(?![A-Za-z0-9_])"), F.lit(1))))
+
+
+BASE_CONFIDENCE = {"SUPPORTED": 0.72, "PARTIAL": 0.45, "NEUTRAL": 0.2, "CONTRADICTED": 0.08, "UNVERIFIED": 0.05}
+
+
+def confidence(verdict: Column, ics: Column, credibility: Column, contradicted: Column) -> Column:
+    base = F.lit(0.05)
+    for v, x in BASE_CONFIDENCE.items():
+        base = F.when(verdict == v, x).otherwise(base)
+    more = F.when(verdict.isin("SUPPORTED", "PARTIAL"), F.least(F.lit(0.2), 0.1 * F.log2(F.greatest(ics, F.lit(1)) + 1))).otherwise(0.0)
+    x = base + more + (F.greatest(F.lit(0.0), F.least(F.lit(100.0), credibility)) - 50) / 50 * 0.1
+    x = F.when(contradicted, F.least(x, F.lit(0.4))).otherwise(x)
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)), 3)
+
+
+def adjudicate(evidence: DataFrame) -> DataFrame:
+    """One row for each claim from (claim, side, origin, credibility, is_primary): both sides weighed by origins and quality."""
+    side = lambda s: F.col("side") == s
+    origins = evidence.groupBy("claim", "side", "origin").agg(F.count("*").alias("n"), F.sum(F.coalesce("credibility", F.lit(50.0))).alias("c"), F.max("is_primary").alias("p"))
+    sides = origins.groupBy("claim", "side").agg(F.count("*").alias("ics"), F.sum("n").alias("n"), F.sum("c").alias("c"), F.max("p").alias("p"))
+    pick = lambda s, c, d: F.coalesce(F.max(F.when(side(s), F.col(c))), F.lit(d))
+    r = sides.groupBy("claim").agg(*(pick(s, c, d).alias(f"{s}_{c}") for s in ("support", "refute") for c, d in (("ics", 0), ("n", 0), ("c", 0.0), ("p", False))))
+    weight = lambda s: F.when(F.col(f"{s}_n") == 0, 0.0).otherwise(F.col(f"{s}_ics") * (F.col(f"{s}_c") / F.col(f"{s}_n") / 50) * F.when(F.col(f"{s}_p"), 1.25).otherwise(1.0))
+    r = r.withColumn("s", weight("support")).withColumn("r", weight("refute"))
+    two = F.col("support_ics") >= 2
+    settled = F.when(two, "SUPPORTED").otherwise("PARTIAL")
+    verdict = (
+        F.when((F.col("support_n") == 0) & (F.col("refute_n") == 0), "UNVERIFIED")
+        .when(F.col("r") > 1.5 * F.col("s"), "CONTRADICTED")
+        .when(F.col("s") > 1.5 * F.col("r"), F.when(F.col("refute_n") > 0, "PARTIAL").otherwise(settled))
+        .when((F.col("support_n") > 0) & (F.col("refute_n") > 0), "PARTIAL")
+        .when(F.col("support_n") > 0, settled)
+        .otherwise("CONTRADICTED")
+    )
+    contested = (F.col("support_n") > 0) & (F.col("refute_n") > 0)
+    mean = (F.col("support_c") + F.col("refute_c")) / (F.col("support_n") + F.col("refute_n"))
+    r = r.withColumn("verdict", verdict).withColumn("contested", contested)
+    return r.select("claim", "verdict", confidence(F.col("verdict"), F.col("support_ics"), mean, F.col("refute_n") > 0).alias("confidence"), F.col("support_ics"), F.col("refute_ics"), "contested")
+
+
+MODES = {"quick": (1, 3, 1, 1, 0.5), "standard": (3, 6, 2, 2, 0.65), "deep": (6, 12, 3, 2, 0.75), "forensic": (12, 20, 4, 3, 0.8)}
+
+
+def gap_strategy(verdict: Column, contested: Column, support: Column, refute: Column, conf: Column, mode: str = "standard") -> Column:
+    """What an open question needs next; null where it is resolved."""
+    least, bar = MODES[mode][3], MODES[mode][4]
+    return (
+        F.when(verdict.isNull() | (verdict == "UNVERIFIED"), "broaden")
+        .when(verdict == "CONTRADICTED", F.when(refute >= least, F.lit(None)).otherwise("corroborate-refutation"))
+        .when(contested, "adjudicate-conflict")
+        .when(support < least, "seek-independent")
+        .when(conf < bar, "strengthen")
+    )
+
+
+def upsert_claims(existing: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Claims (id, text, verdict, seen): the last row of an id stays, first_seen is the earliest among equal normalized texts."""
+    rows = existing.unionByName(incoming).withColumn("normalized", T.normalize_claim(F.col("text")))
+    first = rows.groupBy("normalized").agg(F.min("seen").alias("first_seen"))
+    last = rows.groupBy("id").agg(F.max_by(F.struct("text", "normalized", "verdict", "seen"), F.struct("seen", "text")).alias("x")).select("id", "x.*")
+    return last.join(first, "normalized").select("id", "text", "normalized", "verdict", T.volatility(F.col("text")).alias("volatility"), "first_seen", F.col("seen").alias("last_verified"))
