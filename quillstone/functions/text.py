@@ -1,18 +1,23 @@
-"""Text expressions. All are built-in functions, so that they stay inside code generation."""
+"""Text expressions. All are built-in functions, so that they stay inside code generation. White space is ASCII white space."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_GAP = "[ \t\n\x0b\f\r]+"
-RETRIEVAL_STOPS = sorted(set("""a about again all an and any are as at be been being both but by can could did do does don each few for from further
-had has have here how if in into is it its just may might more most no nor not now of on once only or other over own same shall should so
-some such than that the then there these this those to too under very was were when where why will with without would s t""".split()))
+from . import constants as C
+
+WS = r"[ \t\n\x0b\f\r]"
+_STRINGS = "array<string>"
+
+
+def bounded(pattern: str, c: Column, ignore_case: bool = False) -> Column:
+    """Whether the pattern occurs as whole ASCII words."""
+    return F.rlike(c, F.lit(("(?i)" if ignore_case else "") + rf"(?:^|[^A-Za-z0-9_])(?:{pattern})(?:[^A-Za-z0-9_]|$)"))
 
 
 def _tidy(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{N} \t\n\x0b\f\r]", " "), _GAP, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(c, rf"[^\p{{L}}\p{{N}} \t\n\x0b\f\r]", " "), f"{WS}+", " "))
 
 
 def normalize_claim(c: Column) -> Column:
@@ -27,19 +32,45 @@ def normalize_for_compare(c: Column) -> Column:
 
 def words(normalized: Column) -> Column:
     """The words of normalized text; none for empty or null."""
-    return F.when(F.length(normalized) > 0, F.split(normalized, " ")).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(normalized) > 0, F.split(normalized, " ")).otherwise(F.array().cast(_STRINGS))
+
+
+def runs(w: Column, k: int) -> Column:
+    """All runs of k words, in order. Shifted copies are zipped, as a lambda that looked into ``w`` would compute it for each run wherever
+    the optimizer moves the expression into a filter."""
+    n = F.greatest(F.size(w) - (k - 1), F.lit(0))
+    zipped = F.arrays_zip(*(F.slice(w, F.lit(j + 1), n) for j in range(k)))
+    return F.transform(zipped, lambda x: F.concat_ws(" ", *(x[str(j)] for j in range(k))))
 
 
-def shingles(w: Column, k: int = 3) -> Column:
+def shingles(w: Column, k: int = C.SHINGLE) -> Column:
     """Distinct runs of k words; a shorter text is one shingle; none without words."""
     n = F.size(w)
-    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(k)), " ")))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array(F.array_join(w, " "))).otherwise(runs)
+    return F.when(n == 0, F.array().cast(_STRINGS)).when(n < k, F.array(F.array_join(w, " "))).otherwise(F.array_distinct(runs(w, k)))
 
 
 def retrieval_tokens(c: Column) -> Column:
     """Words of three letters or more that are not stop words, repeats kept."""
-    return F.filter(words(normalize_claim(c)), lambda w: (F.length(w) > 2) & ~w.isin(*RETRIEVAL_STOPS))
+    return F.filter(words(normalize_claim(c)), lambda w: (F.length(w) > 2) & ~w.isin(*C.RETRIEVAL_STOPS))
+
+
+def content_tokens(c: Column) -> Column:
+    """As retrieval_tokens, with the judge's stop words."""
+    return F.filter(words(normalize_claim(c)), lambda w: (F.length(w) > 2) & ~w.isin(*C.JUDGE_STOPS))
+
+
+def token_jaccard(a: Column, b: Column) -> Column:
+    """Similarity of two arrays as sets; 0 where either is empty."""
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
+
+
+def truncate(c: Column, n: int) -> Column:
+    return F.when(F.length(c) > n, F.concat(F.left(c, F.lit(n - 1)), F.lit("…"))).otherwise(c)
+
+
+def short_id(c: Column) -> Column:
+    """A key of 13 characters: the head of the SHA-256."""
+    return F.left(F.sha2(c, 256), F.lit(13))
 
 
 def host_of(url: Column) -> Column:
@@ -50,27 +81,27 @@ def normalize_url(url: Column) -> Column:
     """Host and path without www., trailing slashes, fragments and tracking parameters, in lower case."""
     host = F.try_parse_url(url, F.lit("HOST"))
     path = F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/+$", "")
-    kept = F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")), "&"), lambda p: (p != "") & ~F.rlike(F.lower(p), F.lit("^(?:utm_|fbclid|gclid|mc_|ref|source)")))
+    kept = F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("QUERY")), F.lit("")), "&"), lambda p: (p != "") & ~F.rlike(F.lower(p), F.lit(f"^(?:{C.TRACKING})")))
     query = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
     return F.when(host.isNull(), F.lower(F.trim(url))).otherwise(F.lower(F.concat(F.regexp_replace(F.lower(host), r"^www\.", ""), path, query)))
 
 
-BLOCKS = ("script", "style", "noscript", "svg", "nav", "footer", "header", "aside")
-ENTITIES = (("nbsp", " "), ("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"))
-
-
 def strip_html(html: Column) -> Column:
     """Readable text of a page: furniture and comments dropped, block ends as line ends, entities decoded in order."""
-    c = html
-    for tag in BLOCKS:
-        c = F.regexp_replace(c, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
+    c = F.regexp_replace(html, rf"(?is)<({'|'.join(C.DROPPED_BLOCKS)})\b[^>]*>.*?</\1>", " ")
     c = F.regexp_replace(c, "(?s)<!--.*?-->", " ")
-    c = F.regexp_replace(c, r"(?i)<br\s*/?>", "\n")
+    c = F.regexp_replace(c, rf"(?i)<br{WS}*/?>", "\n")
     c = F.regexp_replace(c, r"(?i)</(?:p|div|li|h[1-6]|tr)>", "\n")
     c = F.regexp_replace(c, "<[^>]+>", " ")
-    for name, char in ENTITIES:
+    for name, char in C.ENTITIES:
         c = F.regexp_replace(c, f"(?i)&{name};", char)
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "[ \t]+", " "), "\n{3,}", "\n\n"))
+    c = F.regexp_replace(F.regexp_replace(c, "[ \t]+", " "), "\n{3,}", "\n\n")
+    return F.regexp_replace(c, rf"^{WS}+|{WS}+$", "")
+
+
+def clamp(c: Column, most: int = 2_000_000) -> Column:
+    """The first characters of a fetched page."""
+    return F.left(c, F.lit(most))
 
 
 def figures(c: Column) -> Column:
@@ -80,72 +111,81 @@ def figures(c: Column) -> Column:
 
 
 def claim_sentences(c: Column) -> Column:
-    return F.split(c, r"(?<=[.!?])[ \t\n\x0b\f\r]+")
+    """Trimmed sentences, each with its place; blank ones are left out but counted."""
+    parts = F.transform(F.split(c, rf"(?<=[.!?]){WS}+"), lambda s: F.regexp_replace(s, rf"^{WS}+|{WS}+$", ""))
+    return F.filter(parts, lambda s: s != "")
 
 
-_OPINION = "i think|in my opinion|arguably|it depends|perhaps|maybe|consider|let'?s|you should|try"
-_VERBS = "is|are|was|were|has|have|had|will|reported|announced|found|showed"
+def quotable(c: Column) -> Column:
+    """Sentences of 40 characters or more: shorter ones are joined to those after them; a short rest counts only if it is all."""
+    flat = F.regexp_replace(c, f"{WS}+", " ")
+    raw = F.filter(F.transform(F.split(flat, r"""(?<=[.!?]) +(?=[A-Z"'“(0-9])"""), F.trim), lambda s: s != "")
+
+    def step(a: Column, s: Column) -> Column:
+        held = F.when(a["held"] == "", s).otherwise(F.concat(a["held"], F.lit(" "), s))
+        done = F.length(held) >= C.MIN_SENTENCE
+        return F.struct(F.when(done, F.concat(a["out"], F.array(held))).otherwise(a["out"]).alias("out"), F.when(done, "").otherwise(held).alias("held"))
+
+    zero = F.struct(F.array().cast(_STRINGS).alias("out"), F.lit("").alias("held"))
+    return F.aggregate(raw, zero, step, lambda a: F.when((F.size(a["out"]) == 0) & (a["held"] != ""), F.array(a["held"])).otherwise(a["out"]))
 
 
 def is_checkworthy(c: Column) -> Column:
     """Long enough, no question, no opinion, and with a number, a name or a factual verb."""
     t = F.trim(c)
-    opinion = F.rlike(t, F.lit(rf"(?i)^(?:{_OPINION})(?:[^A-Za-z0-9_]|$)"))
-    anchor = F.rlike(t, F.lit(rf"[0-9]|(?:^|[^A-Za-z0-9_])(?:[A-Z][a-z]{{2,}}|(?:{_VERBS})(?:[^A-Za-z0-9_]|$))"))
-    return F.coalesce((F.length(t) >= 25) & ~t.endswith("?") & ~opinion & anchor, F.lit(False))
-
-
-FAST = ("as of today", "casualt", "currently", "current ceo", "death toll", "exchange rate", "latest version", "market cap", "poll", "polling", "price", "right now", "share", "shares", "stock", "valuation")
-LASTING = ("atomic number", "constant", "died in", "discovered in", "doi", "equation", "published in [0-9]{4}", "rfc [0-9]+", "theorem", "treaty of", "was born", "was founded")
+    opinion = F.rlike(t, F.lit(rf"(?i)^(?:{C.OPINION_STARTS})(?:[^A-Za-z0-9_]|$)"))
+    fact = F.rlike(t, F.lit(rf"[0-9]|(?:^|[^A-Za-z0-9_])(?:[A-Z][a-z]{{2,}}|(?:{C.FACT_VERBS})(?:[^A-Za-z0-9_]|$))"))
+    return F.coalesce((F.length(t) >= 25) & ~t.endswith("?") & ~opinion & fact, F.lit(False))
 
 
 def volatility(c: Column) -> Column:
     """fast, immutable or slow: how soon a claim may change."""
     t = F.lower(c)
-    has = lambda xs: F.rlike(t, F.lit(rf"(?:^|[^a-z0-9_])(?:{'|'.join(xs)})(?:[^a-z0-9_]|$)"))
-    return F.when(has(FAST), "fast").when(has(LASTING), "immutable").otherwise("slow")
-
-
-TTL_DAYS = {"immutable": 5 * 365, "slow": 180, "fast": 1}
+    return F.when(bounded(C.FAST_CUES, t), "fast").when(bounded(C.LASTING_CUES, t), "immutable").otherwise("slow")
 
 
 def is_fresh(last_verified: Column, kind: Column, now: Column) -> Column:
     """Whether less than the class's time to live has passed (milliseconds); unknown classes count as slow."""
-    days = F.when(kind == "immutable", TTL_DAYS["immutable"]).when(kind == "fast", TTL_DAYS["fast"]).otherwise(TTL_DAYS["slow"])
+    days = F.when(kind == "immutable", C.TTL_DAYS["immutable"]).when(kind == "fast", C.TTL_DAYS["fast"]).otherwise(C.TTL_DAYS["slow"])
     return F.coalesce((last_verified != 0) & (now - last_verified < days.cast("long") * 86_400_000), F.lit(False))
 
 
-def date_from_url(url: Column) -> Column:
-    """The date in a /YYYY/MM[/DD]/ path; days beyond a month's end run over; null without one."""
-    part = lambda i: F.regexp_extract(url, "/((?:19|20)[0-9]{2})/([0-9]{1,2})(?:/([0-9]{1,2}))?/", i)
-    month, day = part(2).try_cast("int"), F.coalesce(part(3).try_cast("int"), F.lit(1))
-    return F.when(month.between(1, 12), F.date_add(F.make_date(part(1).try_cast("int"), month, F.lit(1)), day - 1))
-
-
-IDENTIFIERS = {
-    "arxiv": r"(?i)\barXiv:\s*[0-9]{4}\.[0-9]{4,5}", "doi": r"\b10\.[0-9]{4,9}/[-._;()/:A-Za-z0-9]+", "ecli": r"\bECLI:[A-Z]{2}:[A-Za-z0-9.]+:[0-9]{4}:",
-    "isbn": r"\bISBN(?:-1[03])?:?\s*(?:97[89][- ]?)?[0-9 -]{9,13}[0-9Xx]\b", "nct": r"\bNCT[0-9]{8}\b", "pmc": r"\bPMC[0-9]{6,8}\b", "pmid": r"(?i)\bPMID:?\s*[0-9]{7,8}\b", "rfc": r"\bRFC\s?[0-9]{1,5}\b",
-}
-FILLERS = (
-    "a testament to", "as an ai language model", "beacon of", "delve[sd]? into", "in conclusion", "in today['’]s (?:digital|fast-paced) world", "it(?:'| i)s (?:worth|important) (?:noting|to note)",
-    "my knowledge cutoff", "navigating the (?:complex )?landscape", "rich tapestry", "unlock(?:ing)? the (?:potential|power|secrets)",
-)
-
-
-def slop_score(text: Column, primary: Column, has_author: Column, has_date: Column, links: Column, affiliates: Column) -> Column:
-    """0 to 100: signs of filler without accountability; 0 for primary sources and texts of under 120 words."""
-    n = F.size(F.filter(F.split(text, _GAP), lambda w: w != ""))
-    hits = F.size(F.regexp_extract_all(F.lower(text), F.lit(f"({'|'.join(FILLERS)})"), F.lit(1)))
-    lens = F.transform(F.filter(claim_sentences(text), lambda s: F.trim(s) != ""), lambda s: F.size(F.filter(F.split(s, _GAP), lambda w: w != "")).cast("double"))
-    k = F.size(lens)
-    mean = F.aggregate(lens, F.lit(0.0), lambda a, x: a + x) / k
-    spread = F.sqrt(F.aggregate(lens, F.lit(0.0), lambda a, x: a + x * x) / k - mean * mean)
-    ratio = affiliates / F.greatest(links, F.lit(1))
-    score = (
-        F.when(hits >= 3, F.least(F.lit(12), hits * 2)).otherwise(0)
-        + F.when((k >= 8) & (spread / mean < 0.2), 14).otherwise(0)
-        + F.when(has_author, 0).otherwise(15)
-        + F.when(has_date, 0).otherwise(12)
-        + F.when((links > 0) & (ratio > 0.1), F.least(F.lit(25), F.round(ratio * 60).cast("int"))).when((links == 0) & (n > 600), 10).otherwise(0)
-    )
-    return F.when(primary | (n < 120), 0).otherwise(F.least(F.lit(100), score)).cast("int")
+#: Runs of capitalised words; the mark stands where a sentence begins.
+_CAPITALS = r"\x01?[A-Z][A-Za-z0-9_&.-]*(?:[ \t\n\x0b\f\r]+(?:of|and|for|the)?[ \t\n\x0b\f\r]*\x01?[A-Z][A-Za-z0-9_&.-]*)*"
+_QUANTITY = r"[0-9][0-9,.]*[ \t\n\x0b\f\r]?(?:%(?=[A-Za-z0-9_])|(?:percent|million|billion|trillion|kg|km|mw|gw|tb|gb)(?![A-Za-z0-9_]))"
+
+
+def entities(c: Column) -> Column:
+    """Distinct names, acronyms, quantities and years. A single capitalised word that begins a sentence is no name. A run ends in a
+    letter, digit or underscore; one of fewer than three characters is no name."""
+    clean = F.translate(F.coalesce(c, F.lit("")), "\x01", " ")
+    marked = F.regexp_replace(clean, r"(^|[.!?][ \t\n\x0b\f\r])(?=[A-Z])", "$1\x01")
+    runs = F.transform(F.regexp_extract_all(marked, F.lit(f"(?<![A-Za-z0-9_])({_CAPITALS})"), F.lit(1)), lambda r: F.regexp_replace(r, "[^A-Za-z0-9_]+$", ""))
+    names = F.transform(F.filter(runs, lambda r: ~(r.startswith("\x01") & ~F.rlike(r, F.lit(WS)))), lambda r: F.translate(r, "\x01", ""))
+    names = F.filter(names, lambda r: F.length(r) >= 3)
+    acronyms = F.regexp_extract_all(clean, F.lit("(?<![A-Za-z0-9_])([A-Z]{2,6})(?![A-Za-z0-9_])"), F.lit(1))
+    quantities = F.transform(F.regexp_extract_all(clean, F.lit(rf"(?i)(?<![A-Za-z0-9_])({_QUANTITY})"), F.lit(1)), F.trim)
+    years = F.regexp_extract_all(clean, F.lit("(?<![A-Za-z0-9_])((?:19|20)[0-9]{2})(?![A-Za-z0-9_])"), F.lit(1))
+    return F.array_distinct(F.concat(names, acronyms, quantities, years))
+
+
+def dedupe_strings(xs: Column) -> Column:
+    """Trimmed strings in order, blank ones and later ones that differ only by case left out."""
+    trimmed = F.filter(F.transform(xs, F.trim), lambda s: s != "")
+
+    def step(a: Column, s: Column) -> Column:
+        new = ~F.array_contains(a["seen"], F.lower(s))
+        return F.struct(F.when(new, F.concat(a["seen"], F.array(F.lower(s)))).otherwise(a["seen"]).alias("seen"), F.when(new, F.concat(a["out"], F.array(s))).otherwise(a["out"]).alias("out"))
+
+    none = F.array().cast(_STRINGS)
+    return F.aggregate(trimmed, F.struct(none.alias("seen"), none.alias("out")), step, lambda a: a["out"])
+
+
+def safe_name(c: Column) -> Column:
+    return F.left(F.trim(F.regexp_replace(c, r'[\\/:*?"<>|#^\[\]]', "-")), F.lit(100))
+
+
+def fill(template: str, c: Column) -> Column:
+    """The template with {} replaced by the column."""
+    before, _, after = template.partition("{}")
+    return F.concat(F.lit(before), c, F.lit(after))
