@@ -119,7 +119,7 @@ def claim_sentences(c: Column) -> Column:
 def quotable(c: Column) -> Column:
     """Sentences of 40 characters or more: shorter ones are joined to those after them; a short rest counts only if it is all."""
     flat = F.regexp_replace(c, f"{WS}+", " ")
-    raw = F.filter(F.transform(F.split(flat, r"""(?<=[.!?]) +(?=[A-Z"'“(0-9])"""), F.trim), lambda s: s != "")
+    raw = F.filter(F.transform(F.split(flat, r"""(?<=[.!?]) +(?=[A-Z"'“(0-9])"""), lambda s: F.trim(s)), lambda s: s != "")
 
     def step(a: Column, s: Column) -> Column:
         held = F.when(a["held"] == "", s).otherwise(F.concat(a["held"], F.lit(" "), s))
@@ -164,14 +164,14 @@ def entities(c: Column) -> Column:
     names = F.transform(F.filter(runs, lambda r: ~(r.startswith("\x01") & ~F.rlike(r, F.lit(WS)))), lambda r: F.translate(r, "\x01", ""))
     names = F.filter(names, lambda r: F.length(r) >= 3)
     acronyms = F.regexp_extract_all(clean, F.lit("(?<![A-Za-z0-9_])([A-Z]{2,6})(?![A-Za-z0-9_])"), F.lit(1))
-    quantities = F.transform(F.regexp_extract_all(clean, F.lit(rf"(?i)(?<![A-Za-z0-9_])({_QUANTITY})"), F.lit(1)), F.trim)
+    quantities = F.transform(F.regexp_extract_all(clean, F.lit(rf"(?i)(?<![A-Za-z0-9_])({_QUANTITY})"), F.lit(1)), lambda s: F.trim(s))
     years = F.regexp_extract_all(clean, F.lit("(?<![A-Za-z0-9_])((?:19|20)[0-9]{2})(?![A-Za-z0-9_])"), F.lit(1))
     return F.array_distinct(F.concat(names, acronyms, quantities, years))
 
 
 def dedupe_strings(xs: Column) -> Column:
     """Trimmed strings in order, blank ones and later ones that differ only by case left out."""
-    trimmed = F.filter(F.transform(xs, F.trim), lambda s: s != "")
+    trimmed = F.filter(F.transform(xs, lambda s: F.trim(s)), lambda s: s != "")
 
     def step(a: Column, s: Column) -> Column:
         new = ~F.array_contains(a["seen"], F.lower(s))

@@ -55,9 +55,9 @@ def with_slop(docs: DataFrame) -> DataFrame:
     docs = docs.withColumn("__n", word_count(text)).withColumn("__lens", F.transform(T.claim_sentences(text), lambda s: word_count(s).cast("double")))
     n, lens, k = F.col("__n"), F.col("__lens"), F.size("__lens")
     hits = reduce(Column.__add__, (_count(F.lower(text), p) for p in C.FILLERS))
-    docs = docs.withColumn("__mean", F.aggregate("__lens", F.lit(0.0), lambda a, x: a + x) / F.size("__lens"))
+    docs = docs.withColumn("__mean", F.aggregate("__lens", F.lit(0.0), lambda a, x: a + x) / F.greatest(F.size("__lens"), F.lit(1)))
     mean = F.col("__mean")
-    spread = F.sqrt(F.aggregate(lens, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / k)
+    spread = F.sqrt(F.aggregate(lens, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.greatest(k, F.lit(1)))
     ratio = F.size(F.filter(out, lambda u: F.rlike(u, F.lit(f"(?i){C.AFFILIATE}")))) / F.greatest(F.size(out), F.lit(1))
     authored = F.coalesce(F.length(F.trim("author")) > 1, F.lit(False))
     dated = F.coalesce(F.col("published_at") != 0, F.lit(False))
