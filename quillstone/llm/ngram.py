@@ -350,13 +350,14 @@ def _score_shard(v: Vocabulary, mu: tuple[float, float], shard: int, blobs: list
     before = v.counts.copy()
     before[BEGIN] = v.counts[BEGIN]
     trie = Trie(trigrams, counts, contexts, context_counts, v.unigram, before, mu)
-    score = np.bincount(row, trie.score(queries)[where], shift[-1])
+    # numpy counts in integers where there is nothing to weigh
+    score = np.bincount(row, trie.score(queries)[where], shift[-1]).astype(float)
     touched = np.bincount(row, minlength=shift[-1]) > 0
     rare_row = np.concatenate([p["rare_row"].astype(np.int64) + o for p, o in zip(parts, shift)])
     words, which = np.unique(np.concatenate([p["rare"] for p in parts]), return_inverse=True)
     c = np.bincount(which, train[rare_row], len(words))[which]
     score += np.bincount(rare_row, np.log10((c + 0.5) / (v.rare_tokens + 0.5 * (v.rare_distinct + 1))), shift[-1])
-    base = np.bincount(rare_row, np.log10((c + 0.5) / (v.tokens + 0.5 * (v.distinct + 1))), shift[-1])
+    base = np.bincount(rare_row, np.log10((c + 0.5) / (v.tokens + 0.5 * (v.distinct + 1))), shift[-1]).astype(float)
     known = np.bincount(rare_row, c > 0, shift[-1])
     rare = np.bincount(rare_row, minlength=shift[-1]) > 0
     for (batch, _), a, z in zip(blobs, shift, shift[1:]):
