@@ -110,8 +110,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     leaves = split(quota, shards, np.random.Generator(np.random.PCG64(seed))) if len(plan) else np.zeros((shards, 0), np.int64)
     begins = np.concatenate([np.zeros((1, len(plan)), np.int64), np.cumsum(leaves, axis=0)])
     table = spark.createDataFrame(
-        [(r["source"], r["source_size"], float(r["target"]), int(w), int(x), int(n), int(q)) for r, w, x, n, q in zip(plan, whole, rest, count, quota)],
-        "source string, source_size long, target double, passes long, rest long, n_blocks long, quota long",
+        [(r["source"], r["source_size"], float(r["target"]), int(w), int(x), int(q)) for r, w, x, q in zip(plan, whole, rest, quota)],
+        "source string, source_size long, target double, passes long, rest long, quota long",
     )
     offsets = runs.withColumn("before", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # a run is a bounded share of a source; within it, the texts' own offsets
@@ -119,7 +119,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     laid = rows.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
     # hot sources have as many rows here as runs, and one row in the table
     placed = laid.join(offsets.withColumnRenamed("source", "s").withColumnRenamed("run", "r").join(table, F.col("s").eqNullSafe(F.col("source"))).drop("source"), F.col("source").eqNullSafe(F.col("s")) & (F.col("run") == F.col("r")))
-    return _draw(placed.select("id", "size", "source", (F.col("before") + F.col("inner")).alias("start"), "source_size", "target", "passes", "rest", "n_blocks", "quota"), block, seed, {r["source"]: begins[:, i] for i, r in enumerate(plan)}).withColumnRenamed("id", id_col)
+    return _draw(placed.select("id", "size", "source", (F.col("before") + F.col("inner")).alias("start"), "source_size", "target", "passes", "rest", "quota"), block, seed, {r["source"]: begins[:, i] for i, r in enumerate(plan)}).withColumnRenamed("id", id_col)
 
 
 def _draw(placed: DataFrame, block: int, seed: int, begins: dict) -> DataFrame:
@@ -130,14 +130,16 @@ def _draw(placed: DataFrame, block: int, seed: int, begins: dict) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             c = {n: b.column(n) for n in b.schema.names}
-            num = {n: c[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in ("size", "start", "passes", "rest", "n_blocks", "quota")}
+            num = {n: c[n].to_numpy(zero_copy_only=False).astype(np.int64) for n in ("size", "source_size", "start", "passes", "rest", "quota")}
             size, start = num["size"], num["start"]
             first = start // block
             n = np.where(size > 0, (start + np.maximum(size, 1) - 1) // block - first + 1, 0)
             row = np.repeat(np.arange(len(size)), n)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
             salt = np.array([hash_source(s, seed) for s in c["source"].to_pylist()], np.uint64)
-            place = permuted(piece, num["n_blocks"][row], salt[row])
+            # the line's last block may be short: it is drawn last, so that the words drawn meet the target
+            whole = (num["source_size"] // block)[row]
+            place = np.where(piece < whole, permuted(np.minimum(piece, np.maximum(whole - 1, 0)), np.maximum(whole, 1), salt[row]), whole)
             drawn = place < num["quota"][row]
             row, piece, place = row[drawn], piece[drawn], place[drawn]
             # words of a block: all, but only what is left in the last block drawn; where that is the line's end, fewer
