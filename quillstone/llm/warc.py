@@ -8,6 +8,7 @@ machine's own for plain paths.
 
 from __future__ import annotations
 
+import hashlib
 import posixpath
 import uuid
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, StringStartsWith, WriterCommitMessage
@@ -206,12 +208,14 @@ class _Writer(DataSourceArrowWriter):
         fs, path = filesystem(self.options["path"])
         fs.create_dir(path, recursive=True)
         name, out = posixpath.join(path, f"_{uuid.uuid4().hex}.tmp"), None
+        packed = self.options.get("packed", "false").lower() == "true"
         try:
             for batch in iterator:
                 for row in batch.to_pylist():
                     if out is None:
                         out = fs.open_output_stream(name)
-                    out.write(record(row, row["payload"] or b""))
+                    payload = row["payload"] or b""
+                    out.write(record(row, zstandard.decompress(payload) if packed and payload else payload))
         finally:
             if out is not None:
                 out.close()
@@ -231,7 +235,8 @@ class _Writer(DataSourceArrowWriter):
 
 
 class WarcDataSource(DataSource):
-    """format("warc"): options path, and payload=false to leave payloads null and unread."""
+    """format("warc"): options path, payload=false to leave payloads null and unread, packed=true where those to write are zstandard
+    frames."""
 
     @classmethod
     def name(cls) -> str:
@@ -252,17 +257,27 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for big in batches:
+        for i in range(0, big.num_rows, 256):
+            b = big.slice(i, 256)
+            raw = b.column(2).to_pylist()
+            own, size = [hashlib.sha256(x).hexdigest() for x in raw], [len(x) for x in raw]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own), pa.array(size, pa.int64()), pa.array([squeeze(x) for x in raw], pa.binary())], ["id", "url", "own", "full_length", "payload"])
+
+
 def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 100) -> None:
     """Writes each page as a record. Of pages with equal payloads of at least ``least`` bytes, the one with the smallest id is a
     response; the others revisit it and carry no payload. Null html is an empty payload; rows with a null id are responses with an
-    empty id. Equal payloads are found by digest and least id, combined before the shuffle; payloads are shuffled once at most."""
+    empty id. Equal payloads are found by digest and least id, combined before the shuffle; payloads are compressed before they are shuffled, once."""
     register(pages.sparkSession)
     html = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     data = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"))
-    digest = F.sha2("payload", 256)
-    large = F.length("payload") >= least
-    firsts = data.filter(large).groupBy(digest.alias("digest")).agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first")
-    joined = data.withColumn("own", digest).join(firsts, large & (F.col("own") == F.col("digest")), "left")
+    slim = data.select("id", F.length("payload").alias("n"), F.sha2("payload", 256).alias("digest"))
+    firsts = slim.filter(F.col("n") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("k")).filter("k > 1").select("digest", "first")
+    packed = data.mapInArrow(_packed, "id long, url string, own string, full_length long, payload binary")
+    joined = packed.join(firsts, (F.col("full_length") >= least) & (F.col("own") == F.col("digest")), "left")
     revisit = F.col("id") > F.col("first")
     joined.select(
         F.coalesce(F.col("id").cast("string"), F.lit("")).alias("record_id"),
@@ -271,9 +286,9 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
         F.lit("2024-01-01T00:00:00Z").alias("date"),
         F.col("own").alias("payload_digest"),
         F.when(revisit, F.col("first").cast("string")).alias("refers_to"),
-        F.length("payload").cast("long").alias("full_length"),
+        "full_length",
         F.when(~F.coalesce(revisit, F.lit(False)), F.col("payload")).alias("payload"),
-    ).write.format("warc").option("path", path).mode("append").save()
+    ).write.format("warc").option("path", path).option("packed", "true").mode("append").save()
 
 
 def archived(spark: SparkSession, path: str) -> DataFrame:
