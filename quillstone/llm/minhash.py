@@ -27,7 +27,7 @@ from . import _text
 from ._graph import components
 from ._scratch import Scratch
 
-BANDS, ROWS, ROUNDS, CHUNK, SMALL = 64, 8, 2, 192, 32
+BANDS, ROWS, ROUNDS, CHUNK, SMALL = 64, 8, 2, 512, 32
 _U32 = np.uint32
 
 
