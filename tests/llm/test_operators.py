@@ -107,6 +107,45 @@ def test_ngram_scores(spark):
     assert sum(r["score"] for r in rows.values() if not r["train"]) > sum(r["base_score"] for r in rows.values() if not r["train"])
 
 
+def trigram_scores(texts, trained, mu=(1000.0, 30.0)):
+    """log10 scores of all texts, from counts of every word's n-grams."""
+    from collections import Counter
+
+    uni, bi, tri, one, two = (Counter() for _ in range(5))
+    lines = {i: ["<", "<", *(x.lower() for x in WORD.findall(t or "")), ">"] for i, t in texts}
+    grams = {i: list(zip(w, w[1:], w[2:])) for i, w in lines.items()}
+    for i in filter(trained, grams):
+        for a, b, c in grams[i]:
+            uni[c] += 1
+            bi[b, c] += 1
+            tri[a, b, c] += 1
+            one[b] += 1
+            two[a, b] += 1
+    n, v = sum(uni.values()), len(uni)
+
+    def p(a, b, c):
+        p1 = (uni[c] + 0.5) / (n + 0.5 * (v + 1))
+        p2 = (bi[b, c] + mu[0] * p1) / (one[b] + mu[0])
+        return (tri[a, b, c] + mu[1] * p2) / (two[a, b] + mu[1])
+
+    return {i: (len(g), sum(np.log10(p(*x)) for x in g)) for i, g in grams.items()}
+
+
+@pytest.mark.parametrize("frequent", [None, 3, 0])
+def test_ngram_scores_of_more_words_than_are_broadcast(spark, monkeypatch, frequent):
+    if frequent is not None:
+        monkeypatch.setattr(ngram, "FREQUENT", frequent)
+    rng, many = random.Random(5), 90_000 if frequent is None else 600
+    lines = [" ".join(f"w{j}" for j in range(i, min(i + 60, many))) for i in range(0, many, 60)]
+    texts = numbers(lines * 3 + [" ".join(rng.choice(["a", "b", f"w{rng.randrange(many)}", f"new{rng.randrange(9)}"]) for _ in range(50)) for _ in range(200)] + [None, "w1"])
+    want = trigram_scores(texts, lambda i: i % 5 != 1)
+    got = {r["doc_id"]: (r["n_tokens"], r["score"]) for r in ngram.language_model_scores(table(spark, texts), F.col("doc_id") % 5 != 1).collect()}
+    assert got.keys() == want.keys()
+    for i, (n, score) in want.items():
+        # probabilities are quantised in steps of 1/4096, two for a token
+        assert got[i][0] == n and abs(got[i][1] - score) < n / 4096 + 1e-3
+
+
 def test_toxicity_on_held_out_rows(spark):
     """On sf0.1: sf0.01 has 14 toxic rows held out, and about 40 to learn from, too few for the dictionaries (AUC 0.71 there)."""
     path = "/root/testdata/sf0.1"
