@@ -168,6 +168,39 @@ def test_mixing(spark):
     assert again == {r["doc_id"]: r["taken"] for r in rows}
 
 
+def test_shards_hold_their_share_of_every_source(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [(None if i % 40 == 0 else i // 2, " ".join(f"w{i}x{j}" for j in range(rng.randrange(1, 90)))) for i in range(400)] + [(9, "\t" + " ".join(f"long{j}" for j in range(4000))), (11, None), (12, " ")]
+    docs = spark.createDataFrame([(i, t, ("abc"[k % 3] if k % 11 else None)) for k, (i, t) in enumerate(texts)], "doc_id long, text string, source string")
+    how = dict(block=16, shards=8)
+    mixed = mixing.mix(docs, **how)
+    plan = mixed.select("source_size", "target", "passes").distinct().collect()
+    assert max(r["passes"] for r in plan) == 2 and len(plan) == 4
+    mixing.write_shards(docs, str(tmp_path / "s"), **how)
+    source = {w: d["source"] for d in docs.collect() for w in (d["text"] or "").split()}
+    blocks, words, drawn = {}, {}, {}
+    for r in spark.read.parquet(str(tmp_path / "s")).collect():
+        w = r["text"].split(" ")
+        s = source[w[0]]
+        blocks.setdefault(r["shard"], {}).setdefault(s, set()).add(r["order"])
+        words[s] = words.get(s, 0) + len(w)
+        for x in w:
+            drawn[x] = drawn.get(x, 0) + 1
+    assert sorted(words.values()) == sorted(round(r["target"]) for r in plan)
+    size = {s: sum(x == s for x in source.values()) for s in words}
+    of = {r["source_size"]: r for r in plan}
+    whole = {s: of[size[s]]["passes"] for s in words}
+    assert all(whole[s] <= drawn.get(w, 0) <= whole[s] + 1 for w, s in source.items())
+    # the quotas of all passes, as the tree splits them
+    names = sorted(words, key=lambda s: (s is None, s or ""))
+    quota = []
+    for s in names:
+        n, t = size[s], round(of[size[s]]["target"])
+        quota.append(t // n * -(-n // 16) + -(-(t - t // n * n) // 16))
+    leaves = mixing.split(np.array(quota), 8, np.random.Generator(np.random.PCG64(17)))
+    assert [[len(blocks[k].get(s, ())) for s in names] for k in range(8)] == leaves.tolist()
+
+
 def test_splitting_tree_keeps_quotas():
     quotas = np.array([1000, 37, 0, 512])
     leaves = mixing.split(quotas, 13, np.random.default_rng(0))
