@@ -16,18 +16,24 @@ def bounded(pattern: str, c: Column, ignore_case: bool = False) -> Column:
     return F.rlike(c, F.lit(("(?i)" if ignore_case else "") + rf"(?:^|[^A-Za-z0-9_])(?:{pattern})(?:[^A-Za-z0-9_]|$)"))
 
 
+def lowered(c: Column) -> Column:
+    """Lower case of the text as it is. The optimizer takes lower(upper(x)) for lower(x), which differ where a letter has no capital of
+    its own; it does not look behind a concatenation."""
+    return F.lower(F.concat(c, F.lit("")))
+
+
 def _tidy(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, rf"[^\p{{L}}\p{{N}} \t\n\x0b\f\r]", " "), f"{WS}+", " "))
 
 
 def normalize_claim(c: Column) -> Column:
     """Lower case, letters and digits only, single spaces. Null stays null."""
-    return _tidy(F.lower(c))
+    return _tidy(lowered(c))
 
 
 def normalize_for_compare(c: Column) -> Column:
     """As normalize_claim, with markup tags dropped first."""
-    return _tidy(F.regexp_replace(F.lower(c), "<[^>]*>", " "))
+    return _tidy(F.regexp_replace(lowered(c), "<[^>]*>", " "))
 
 
 def words(normalized: Column) -> Column:

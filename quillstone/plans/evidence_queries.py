@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..operators import anchoring, judging, recall, reports, research, verdicts, verify
-from ..operators.graphs import cut
+from ..operators.graphs import cut, shared_dir
 from ..sources import store
 from . import _sql as S
 from ._registry import query, table
 from .text_queries import NOW, credibility_sql, primary_ctes, slop_ctes
 
 # Quotations: a benchmark item as it is, with other case and spacing, cut short, altered, and from a document that is missing or changed.
-_MADE = """CASE q WHEN 0 THEN text WHEN 1 THEN upper(replace(text, ' ', '  ')) WHEN 2 THEN left(text, 12) WHEN 3 THEN replace(text, ' ', ' x ') ELSE substring(text, 3, 60) END"""
+# Only A-Z are capitals here: the two dialects differ on what upper() makes of a sharp s.
+_CAPITALS = "translate({}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+_MADE = f"""CASE q WHEN 0 THEN text WHEN 1 THEN {_CAPITALS.format("replace(text, ' ', '  ')")} WHEN 2 THEN left(text, 12) WHEN 3 THEN replace(text, ' ', ' x ') ELSE substring(text, 3, 60) END"""
 
 
 @query("""WITH q AS (SELECT item_id, trim(text) AS quote FROM benchmark)
@@ -283,47 +287,55 @@ def research_question(spark, sf_dir) -> DataFrame:
     return spark.createDataFrame([(s["text"], s["status"], (s["verdict"] or {}).get("verdict"), s["attempts"]) for s in result.questions], "sub_question string, status string, verdict string, attempts int")
 
 
-# Claims arrive in two batches; some repeat an id, some a text.
-_BATCHES = "SELECT 'c' || (conv_id * 100 + turn) AS id, text, 'SUPPORTED' AS verdict, 1000 + conv_id AS now FROM conversations WHERE role = 'assistant' UNION ALL SELECT 'c' || (conv_id * 100 + turn), upper(text), 'PARTIAL', 5000 + conv_id FROM conversations WHERE role = 'assistant' AND conv_id % 3 = 0 UNION ALL SELECT 'd' || (conv_id * 100 + turn), text, NULL, 6000 FROM conversations WHERE role = 'assistant' AND conv_id % 5 = 0"
+# Claims arrive in two batches, months apart; some repeat an id, some a text.
+_LATER = 10_000_000_000
+_BATCHES = f"SELECT 'c' || (conv_id * 100 + turn) AS id, text, 'SUPPORTED' AS verdict, 1000 + conv_id AS now FROM conversations WHERE role = 'assistant' UNION ALL SELECT 'c' || (conv_id * 100 + turn), {_CAPITALS.format('text')}, 'PARTIAL', {_LATER} + conv_id FROM conversations WHERE role = 'assistant' AND conv_id % 3 = 0 UNION ALL SELECT 'd' || (conv_id * 100 + turn), text, NULL, {_LATER} FROM conversations WHERE role = 'assistant' AND conv_id % 5 = 0"
 _UPSERT = f"""r AS (SELECT *, {S.normalize_claim('text')} AS normalized FROM ({_BATCHES}) WHERE text <> ''), f AS (SELECT normalized, min(now) AS first_seen FROM r GROUP BY ALL),
 l AS (SELECT id, arg_max(text, now) AS text, arg_max(normalized, now) AS normalized, arg_max(coalesce(verdict, 'UNVERIFIED'), now) AS verdict, max(now) AS last_verified FROM r GROUP BY id)"""
 
 
-def _stored(spark, sf_dir) -> DataFrame:
+def _stored(spark, sf_dir) -> store.Store:
+    """A store in the shared folder that has taken both batches."""
     c = table(spark, sf_dir, "conversations").filter("role = 'assistant'").select(F.col("conv_id"), (F.col("conv_id") * 100 + F.col("turn")).cast("string").alias("k"), "text")
     row = lambda df, head, text, verdict, now: df.select(F.concat(F.lit(head), "k").alias("id"), text.alias("text"), F.lit(verdict).cast("string").alias("verdict"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("int").alias("ics"), now.cast("long").alias("now"))
     n, t = F.col("conv_id"), F.col("text")
-    old = spark.createDataFrame([], store.SCHEMAS["claims"])
-    for batch in (row(c, "c", t, "SUPPORTED", 1000 + n), row(c.filter("conv_id % 3 = 0"), "c", F.upper(t), "PARTIAL", 5000 + n).unionByName(row(c.filter("conv_id % 5 = 0"), "d", t, None, F.lit(6000)))):
-        old = cut(store.replace_rows(old, store.claim_rows(batch, old).select(*old.columns)))
-    return old
+    s = store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    for batch in (row(c, "c", t, "SUPPORTED", 1000 + n), row(c.filter("conv_id % 3 = 0"), "c", F.expr(_CAPITALS.format("text")), "PARTIAL", _LATER + n).unionByName(row(c.filter("conv_id % 5 = 0"), "d", t, None, F.lit(_LATER)))):
+        s.put_claims(batch)
+    return s
 
 
 @query(f"WITH {_UPSERT} SELECT id, text, verdict, first_seen, last_verified, {S.volatility('text')} AS volatility FROM l JOIN f USING (normalized)")
 def claims_upsert(spark, sf_dir) -> DataFrame:
-    return _stored(spark, sf_dir).select("id", "text", "verdict", "first_seen", "last_verified", "volatility")
+    return _stored(spark, sf_dir).table("claims").select("id", "text", "verdict", "first_seen", "last_verified", "volatility")
 
 
 @query(f"""WITH {_UPSERT}, lv AS (SELECT normalized, max(last_verified) AS last_verified FROM l GROUP BY ALL), q AS (SELECT text FROM conversations UNION ALL SELECT 'never seen ' || conv_id FROM conversations)
-SELECT q.text, CASE WHEN lv.normalized IS NULL THEN 'miss' WHEN 100000000 - last_verified < CASE {S.volatility('lv.normalized')} WHEN 'fast' THEN 1 WHEN 'immutable' THEN 1825 ELSE 180 END * 86400000::BIGINT THEN 'hit' ELSE 'stale' END AS reason FROM q LEFT JOIN lv ON lv.normalized = {S.normalize_claim('q.text')}""")
+SELECT q.text, CASE WHEN lv.normalized IS NULL THEN 'miss' WHEN {2 * _LATER} - last_verified < CASE {S.volatility('lv.normalized')} WHEN 'fast' THEN 1 WHEN 'immutable' THEN 1825 ELSE 180 END * 86400000::BIGINT THEN 'hit' ELSE 'stale' END AS reason FROM q LEFT JOIN lv ON lv.normalized = {S.normalize_claim('q.text')}""")
 def recall_claims(spark, sf_dir) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     asked = c.select("text").unionByName(c.select(F.concat(F.lit("never seen "), F.col("conv_id").cast("string")).alias("text")))
-    return store.recall(_stored(spark, sf_dir), asked, 100_000_000).select("text", "reason")
+    return _stored(spark, sf_dir).recall(asked, 2 * _LATER).select("text", "reason")
 
 
 @query(f"WITH {_UPSERT} SELECT verdict, count(*) AS n, count(DISTINCT normalized) AS texts FROM l GROUP BY verdict")
 def claim_stats(spark, sf_dir) -> DataFrame:
-    return _stored(spark, sf_dir).groupBy("verdict").agg(F.count("*").alias("n"), F.count_distinct("normalized").alias("texts"))
+    return _stored(spark, sf_dir).table("claims").groupBy("verdict").agg(F.count("*").alias("n"), F.count_distinct("normalized").alias("texts"))
+
+
+_OTHERS = ", ".join(f"({S.quoted(t)})" for t in C.TABLES if t != "claims")
+
+
+@query(f"WITH {_UPSERT} SELECT 'claims' AS name, count(*) AS n FROM l UNION ALL SELECT name, 0 FROM (VALUES {_OTHERS}) t(name)")
+def store_stats(spark, sf_dir) -> DataFrame:
+    return spark.createDataFrame(list(_stored(spark, sf_dir).stats().items()), "name string, n long")
 
 
 @query()
 def export_vault(spark, sf_dir) -> DataFrame:
-    return reports.vault(_stored(spark, sf_dir))
+    return reports.vault(_stored(spark, sf_dir).table("claims"))
 
 
 @query(f"WITH {_UPSERT} SELECT id, text FROM l WHERE verdict = 'PARTIAL'")
 def store_find(spark, sf_dir) -> DataFrame:
-    return _stored(spark, sf_dir).filter(F.col("verdict") == F.lit("PARTIAL")).select("id", "text")
-
-
+    return _stored(spark, sf_dir).find("claims", verdict="PARTIAL").select("id", "text")

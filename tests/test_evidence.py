@@ -120,3 +120,63 @@ def test_store(spark, tmp_path):
     assert [r["reason"] for r in s.recall(spark.createDataFrame([("WATER boils",)], "text string"), 400).collect()] == ["hit"]
     with pytest.raises(ValueError, match="Unknown table"):
         s.table("nothing")
+
+
+KIND = "id string, text string, verdict string, confidence double, ics int, now long"
+
+
+def test_no_claim_is_lost_to_case(spark, tmp_path):
+    """Letters whose capitals are not one letter of their own, upper-cased by the caller within the same plan."""
+    s = Store(spark, f"file://{tmp_path}/store")
+    texts = ["Die Straße ist lang", "DIE STRASSE IST LANG", "GROẞE Worte", "İstanbul is large", "ǰ and ŉ", "!!!"]
+    rows = spark.createDataFrame([(str(i), t, None, None, None, 10 + i) for i, t in enumerate(texts)], KIND)
+    s.put_claims(rows)
+    s.put_claims(rows.withColumn("id", F.concat(F.lit("u"), "id")).withColumn("text", F.upper("text")).withColumn("now", F.col("now") + 100))
+    got = {r["id"]: r for r in s.table("claims").collect()}
+    assert got.keys() == {f"{h}{i}" for h in ("", "u") for i in range(len(texts))}
+    assert got["u1"]["normalized"] == got["1"]["normalized"] == got["u0"]["normalized"] == "die strasse ist lang"
+    assert got["u0"]["first_seen"] == 11 and got["0"]["normalized"] == "die straße ist lang"
+    asked = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert {r["reason"] for r in s.recall(asked.select(F.upper("text").alias("text")), 500).collect()} == {"hit"}
+
+
+def test_store_passes_over_broken_versions(spark, tmp_path):
+    path = tmp_path / "store"
+    s = Store(spark, f"file://{path}")
+    for i in range(5):
+        s.put_claims(spark.createDataFrame([(str(i), f"Claim number {i}", None, None, None, i)], KIND))
+    versions = sorted((path / "claims").glob("v-*"), key=lambda p: p.stat().st_mtime)
+    assert len(versions) == 3  # older ones are removed
+    (path / "claims" / "commit-000000000009").write_text("{half of")
+    assert s.table("claims").count() == 5
+    for f in versions[-1].glob("*.parquet"):
+        f.write_bytes(f.read_bytes()[:10])
+    assert {r["id"] for r in s.table("claims").collect()} == set("0123")
+    s.put_claims(spark.createDataFrame([("x", "A claim after that", None, None, None, 9)], KIND))
+    assert {r["id"] for r in s.table("claims").collect()} == {*"0123", "x"}
+    for f in (path / "claims").glob("commit-*"):
+        f.write_text("no json")
+    assert s.table("claims").count() == 0
+
+
+def test_a_second_writer_starts_again(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/store")
+    one = lambda i: spark.createDataFrame([(i, f"q{i}", "quick", 0, 0, "done", "{}")], "id string, question string, mode string, started long, finished long, status string, report_json string")
+    tries = []
+
+    def change(old):
+        if not tries:
+            s.put("runs", one("first"))
+        tries.append(1)
+        return old.unionByName(one("second"))
+
+    s._update("runs", change)
+    assert len(tries) == 2 and {r["id"] for r in s.table("runs").collect()} == {"first", "second"}
+
+
+def test_store_is_copied_forward_once(spark, tmp_path):
+    old, new = f"file://{tmp_path}/old", f"file://{tmp_path}/home/.quillstone/evidence"
+    Store(spark, old).put_claims(spark.createDataFrame([("a", "Water boils", None, None, None, 1)], KIND))
+    assert Store.migrated(spark, old, new).table("claims").count() == 1
+    Store(spark, old).put_claims(spark.createDataFrame([("b", "Ice melts", None, None, None, 2)], KIND))
+    assert Store.migrated(spark, old, new).table("claims").count() == 1 and Store(spark, old).table("claims").count() == 2
