@@ -8,8 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one under /tmp where it is unset, as in tests on one machine."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
+    """The folder named by spark.checkpoint.dir. One under /tmp serves where it is unset, as in tests, on one machine only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return (found or "file:///tmp/checkpoints").rstrip("/")
+
+
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bounds the bytes of texts that go to a Python worker at once; a smaller bound that the session has stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(name, str(min(most, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)))))
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -26,6 +35,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.name, self.paths = spark, name, {}
+        small_batches(spark)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = new_path(self.spark, self.name)

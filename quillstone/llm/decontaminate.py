@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._scratch import small_batches
 
 _APART = np.array([not (48 <= c < 58 or 65 <= c < 91 or 97 <= c < 123 or c >= 128) for c in range(256)])
 _BITS = 22
@@ -119,6 +120,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).filter("item is not null and text is not null")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_chars))
+    small_batches(df.sparkSession)
     data = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def one(k: int) -> DataFrame:

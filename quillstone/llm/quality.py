@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._scratch import Scratch, small_batches
 from .toxicity import _logistic, labelled_sample
 
 _LETTER = np.array([65 <= c < 91 or 97 <= c < 123 or c >= 128 for c in range(256)])
@@ -102,7 +103,7 @@ def posteriors(scored: DataFrame, base: float) -> DataFrame:
     return both.select("host", "path", ((F.col("s") + b * F.col("host_rate")) / (F.col("n") + b)).alias("prior"))
 
 
-def quality(df: DataFrame, labels: DataFrame, host: Column, path: Column, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, most: int = 3000, chars: int = 20_000, site_weight: float = 0.5) -> DataFrame:
+def quality(df: DataFrame, labels: DataFrame, host: Column, path: Column, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, most: int = 3000, site_weight: float = 0.5) -> DataFrame:
     """(id, doc_score, site_prior, score, kept) of every row.
 
     doc_score is the classifier's probability, score combines it with the posterior of the row's path; kept: score >= threshold. The
@@ -111,7 +112,8 @@ def quality(df: DataFrame, labels: DataFrame, host: Column, path: Column, train:
     every score is one half and every row is kept.
     """
     known = labels if train is None else labels.filter(train)
-    model = fit_quality(*labelled_sample(df, known, id_col, text_col, label_col, most, chars))
+    model = fit_quality(*labelled_sample(df, known, id_col, text_col, label_col, most))
+    small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
     data = df.select(F.col(id_col).cast("long").alias("id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(text_col).alias("text"))
 
@@ -122,8 +124,6 @@ def quality(df: DataFrame, labels: DataFrame, host: Column, path: Column, train:
             p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(p)], ["id", "host", "path", "p"])
 
-    from ._scratch import Scratch
-
     scored = Scratch(df.sparkSession, "quality").keep(data.mapInArrow(run, "id long, host string, path string, p double"))
     truth = known.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     sites = posteriors(scored.join(truth, "id", "left"), model.base)

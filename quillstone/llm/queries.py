@@ -23,15 +23,17 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    """Scores of documents by a model of those whose remainder is not 1; a null doc_id has no remainder and is trained on."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
     scored = ngram.language_model_scores(_table(spark, sf_dir, "documents"), ~held_out)
     return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of documents by a model of labelled ones whose remainder is not 2; a null doc_id has no remainder and is not held out."""
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     scored = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), train=part != 2)
-    return scored.select("doc_id", (part == 2).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(part == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._scratch import small_batches
+
 #: The byte-level pre-tokenizer's rule, white space by its Unicode property.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 _workers: dict = {}
@@ -102,6 +104,7 @@ def token_counts(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
             size = [len(t.encode()) if t else 0 for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], ["id", "n_bytes", "n_tokens", "over_limit"])
 
+    small_batches(df.sparkSession)
     data = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = data.schema["id"].dataType.simpleString()
     return data.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)

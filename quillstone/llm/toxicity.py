@@ -1,10 +1,14 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary text. They share a body of common prose and end in words
-of their own class, laid out at equal offsets, so that windows of common prose compress alike under both. A text is cut into
-windows of a few words; a window that the toxic dictionary shortens is looked at again word by word, each word in a carrier phrase
-that both dictionaries know. The bytes that are saved on a word are its evidence. A logistic curve, calibrated on rows that
-the dictionaries have not seen, turns a text's evidence into a probability.
+Two zstandard dictionaries are trained, one on windows of toxic and one on windows of ordinary text. A text is cut into windows of a
+few words, each window is compressed under both, and the difference of the lengths is its evidence. A logistic curve over a text's
+differences, calibrated on rows that the dictionaries have not seen, gives the probability.
+
+Most windows of a toxic text are ordinary prose, so training goes in rounds: the rows are dealt into two folds, each fold's windows are
+compared under the dictionaries of the other, and only windows that the toxic dictionary shortens, of both classes, train the next and
+smaller dictionaries. Both stand before one base of ordinary prose, a trained dictionary as well, so that common words cost the
+same under both. Of two settings, the one with the better calibration is kept: large
+bases need many labelled rows.
 """
 
 from __future__ import annotations
@@ -19,66 +23,78 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+
+from ._scratch import small_batches
 
 _PLAIN = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c >= 128 else c + 32 if 65 <= c < 91 else 32 for c in range(256))
-_LEVEL, _CARRIER = 3, 12
+_LEVEL, _WIDTH, _LEAST = 5, 6, 1024
+#: Ends every window and the base, as the compressor seeks no match in an input's last bytes. Plain words hold none of these bytes.
+_TAIL = bytes(range(1, 13))
+
+
+@dataclass(frozen=True)
+class Setting:
+    """Sizes of the base and of a class's first dictionary, which halves each round; rounds; length of the segments that are picked."""
+
+    base: int
+    own: int
+    rounds: int
+    segment: int
+
+
+SETTINGS = (Setting(32768, 8192, 3, 16), Setting(98304, 8192, 3, 16))
+
+
+def windows(text: str | None) -> list[bytes]:
+    """The distinct windows of a text, in order: runs of six words in lower case, letters and digits only."""
+    w = text.encode("utf-8", "replace").translate(_PLAIN).split() if text else []
+    return list(dict.fromkeys(b" " + b" ".join(w[i : i + _WIDTH]) + b" " + _TAIL for i in range(0, len(w), _WIDTH)))
+
+
+def trained(samples: list[bytes], size: int, segment: int) -> bytes:
+    """A zstandard dictionary of the samples; where they are too few for the trainer, the last of the samples themselves."""
+    bare = [x[: -len(_TAIL)] for x in samples]
+    try:
+        return zstandard.train_dictionary(size, bare, k=segment, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(bare)[-size:]
+
 
+def compressor(content: bytes) -> zstandard.ZstdCompressor:
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=_LEVEL)
+    return zstandard.ZstdCompressor(level=_LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False)
 
-def _words(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "replace").translate(_PLAIN).split() if text else []
+
+def differences(ordinary: zstandard.ZstdCompressor, toxic: zstandard.ZstdCompressor, parts: list[bytes]) -> np.ndarray:
+    """By how many bytes the toxic dictionary shortens each window more than the ordinary one."""
+    o, t = ordinary.compress, toxic.compress
+    return np.array([len(o(x)) - len(t(x)) for x in parts], float)
 
 
 @dataclass
 class ToxicityModel:
-    """``ordinary`` and ``toxic`` are the dictionaries' contents (their sizes are bounded by the fit), ``weights`` the curve."""
+    """``ordinary`` and ``toxic`` are the dictionaries' contents (their sizes are bounded by the setting), ``weights`` the curve."""
 
     ordinary: bytes
     toxic: bytes
-    carrier: bytes
     weights: list[float]
-    width: int = 8
-    least_saving: int = 2
     _tools: tuple | None = field(default=None, repr=False, compare=False)
-    _cache: dict = field(default_factory=dict, repr=False, compare=False)
 
     def __getstate__(self):
-        return self.__dict__ | {"_tools": None, "_cache": {}}
-
-    def _compressors(self) -> tuple:
-        if self._tools is None:
-            made = []
-            for content in (self.ordinary, self.toxic):
-                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=_LEVEL)
-                made.append(zstandard.ZstdCompressor(level=_LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False))
-            self._tools = tuple(made)
-        return self._tools
-
-    def word_evidence(self, word: bytes) -> int:
-        """The bytes that only the toxic dictionary saves on a word in the carrier."""
-        if (found := self._cache.get(word)) is None:
-            o, t = self._compressors()
-            window = self.carrier + b"\n" + word + b"\n" + self.carrier
-            found = len(o.compress(window)) - len(t.compress(window))
-            if len(self._cache) >= 200_000:
-                self._cache.clear()
-            self._cache[word] = found
-        return found
+        return self.__dict__ | {"_tools": None}
 
     def evidence(self, text: str | None) -> list[float]:
-        """Whether some word saves 2, 3, 4 and 5 bytes, and the log of the number of distinct words that save 3 and 4."""
-        o, t = self._compressors()
-        words, saved = _words(text), {}
-        for i in range(0, len(words), self.width):
-            part = words[i : i + self.width]
-            window = b" " + b" ".join(part) + self.carrier  # no match is sought in the last bytes
-            if len(o.compress(window)) - len(t.compress(window)) >= self.least_saving:
-                for w in part:
-                    if (e := self.word_evidence(w)) >= 2:
-                        saved[w] = e
-        n = [sum(e >= k for e in saved.values()) for k in (2, 3, 4, 5)]
-        return [*(float(x > 0) for x in n), math.log1p(n[1]), math.log1p(n[2])]
+        """The greatest difference, the mean of the three greatest, and the logs of how many reach 1, 2 and 3 bytes and of how many
+        windows there are; differences are taken from their median. None without words."""
+        if self._tools is None:
+            self._tools = compressor(self.ordinary), compressor(self.toxic)
+        parts = windows(text)
+        if not parts:
+            return [0.0] * 6
+        d = np.sort(differences(*self._tools, parts))[::-1]
+        d -= d[len(d) // 2]
+        return [d[0] / 4, float(d[:3].mean()) / 4, *(math.log1p(int((d >= k).sum())) for k in (1, 2, 3)), math.log1p(len(d)) / 4]
 
     def score(self, text: str | None) -> float:
         x = self.weights[0] + sum(w * v for w, v in zip(self.weights[1:], self.evidence(text)))
@@ -98,82 +114,86 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
     return w.tolist()
 
 
-def fit_toxicity(rows: list[tuple[str | None, int]], shares: tuple[float, float] = (1.0, 1.0), least_evidence: float = 24.0) -> ToxicityModel:
+def _dictionaries(folds: list[tuple[list[bytes], list[bytes]]], base: bytes, how: Setting) -> tuple[bytes, bytes]:
+    """(ordinary, toxic) contents from folds of (toxic windows, ordinary windows)."""
+    size = how.own
+
+    def contents(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+        # of one length, so that the base lies equally far from a window
+        return tuple(trained(x, size, how.segment)[-size:].rjust(size, b"\0") + base for x in (ordinary, toxic))
+
+    kept = folds
+    for _ in range(how.rounds):
+        tools = [tuple(map(compressor, contents(*x))) for x in kept]
+        kept = [tuple([x for x, d in zip(part, differences(*tools[1 - i], part)) if d >= 1] for part in folds[i]) for i in (0, 1)]
+        size = max(_LEAST, size // 2)
+    return contents(kept[0][0] + kept[1][0], kept[0][1] + kept[1][1])
+
+
+def fit_toxicity(rows: list[tuple[str | None, int]], shares: tuple[float, float] = (1.0, 1.0), settings: tuple[Setting, ...] = SETTINGS) -> ToxicityModel:
     """Fits on (text, label) rows. shares: by how much the rows of label 0 and 1 stand for more rows than themselves.
 
-    Even rows train the dictionaries, odd rows calibrate the curve. Without rows of both labels the score is the share of toxic
-    rows, or one half without any rows.
+    Even rows train the dictionaries, odd rows calibrate the curve and choose among the settings. Without rows of both labels in
+    either, the score is the share of toxic rows, or one half without any rows.
     """
     half, other = rows[::2], rows[1::2]
-    by, whole = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
-    for text, label in half:
-        by[label].update({w[:k] for w in set(_words(text)) for k in (5, 6, 7, 8, 9, len(w)) if 4 <= k <= len(w)})
-        whole[label].update(set(_words(text)))
-    n = {k: sum(label == k for _, label in half) for k in (0, 1)}
-
-    def log_ratio(word: bytes) -> float:
-        a, b = by[1][word], by[0][word]
-        if not n[0] or a * n[0] <= b * n[1]:
-            return 0.0
-        both = (a + b) / (n[0] + n[1])
-        return 2 * (a * math.log(a / (both * n[1])) + (b * math.log(b / (both * n[0])) if b else 0))
-
-    marked = sorted(((s, w) for w in by[1] if (s := log_ratio(w)) >= least_evidence), reverse=True)[:2000]
-    common = [w for w, _ in sorted(whole[0].items(), key=lambda x: (-x[1], x[0]))[:6000]]
-    # the compressor indexes short matches at every third byte of a dictionary: each entry starts, with its space, at one
-    lay = lambda ws, edge=b" ": b"".join(x.ljust(-(-len(x) // 3) * 3) for w in ws for x in [edge + w + edge])
-    toxic, known = lay([w for _, w in reversed(marked)], b"\n") + lay(w for _, w in reversed(marked)), {w for _, w in marked}
-    body = lay(w for w in reversed(common[:4000]) if w not in known)
-    ordinary = lay(w for w in common[4000:] if w not in known)[: len(toxic)].rjust(len(toxic), b"-")
-    tail = b"q\0x\0z\0j\0v\0k\0"  # a dictionary's last bytes are not indexed
-    model = ToxicityModel(body + ordinary + tail, body + toxic + tail, b" " + b" ".join(reversed(common[:_CARRIER])), [0.0] * 7)
+    cut = {k: [windows(text) for text, label in half if label == k] for k in (0, 1)}
+    folds = [tuple([x for doc in cut[k][i::2] for x in doc] for k in (1, 0)) for i in (0, 1)]
     y = np.array([label for _, label in other], float)
     weight = np.where(y > 0, shares[1], shares[0])
+    best: tuple[float, ToxicityModel] | None = None
+    if len(set(y.tolist())) == 2 and all(any(x) for x in cut.values()):
+        bases = {size: _TAIL + trained(folds[0][1] + folds[1][1], size, 64) + _TAIL for size in {s.base for s in settings}}
+        for how in settings:
+            model = ToxicityModel(*_dictionaries(folds, bases[how.base], how), [0.0] * 7)
+            x = np.array([model.evidence(text) for text, _ in other])
+            model.weights = _logistic(x, y, weight)
+            p = 1 / (1 + np.exp(-np.clip(model.weights[0] + x @ model.weights[1:], -30, 30)))
+            loss = -float((weight * np.log(np.where(y > 0, p, 1 - p))).sum())
+            if best is None or loss < best[0]:
+                best = loss, model
+    if best is not None:
+        return best[1]
     total = sum(shares[label] for _, label in rows)
-    if len(set(y.tolist())) < 2 or not marked:
-        share = sum(shares[1] for _, label in rows if label) / total if total else 0.5
-        share = min(max(share, 1e-6), 1 - 1e-6)
-        model.weights = [math.log(share / (1 - share))] + [0.0] * 6
-    else:
-        model.weights = _logistic(np.array([model.evidence(text) for text, _ in other]), y, weight)
-    return model
-
-
-def labelled_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int, chars: int) -> tuple[list[tuple[str | None, int]], tuple[float, float]]:
-    """At most ``most`` labelled rows of each class, in an order drawn from their ids, and what each row stands for. Of longer texts,
-    the fit sees the first ``chars`` characters; scoring always reads whole texts."""
+    share = sum(shares[1] for _, label in rows if label) / total if total else 0.5
+    share = min(max(share, 1e-6), 1 - 1e-6)
+    return ToxicityModel(_TAIL, _TAIL, [math.log(share / (1 - share))] + [0.0] * 6)
+
+
+def labelled_sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> tuple[list[tuple[str | None, int]], tuple[float, float]]:
+    """At most ``most`` labelled rows of each class with their whole texts, in an order drawn from their ids, and what each row stands
+    for. The driver holds these texts."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     count = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     drawn = [known.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(most) for k in (0, 1)]
-    picked = df.select(F.col(id_col).alias("id"), F.substring(F.col(text_col), 1, chars).alias("text")).join(F.broadcast(drawn[0].unionByName(drawn[1])), "id")
+    picked = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn[0].unionByName(drawn[1])), "id")
     rows = sorted((r["order"], r["text"] or "", r["label"]) for r in picked.select(F.xxhash64("id", F.lit(7)).alias("order"), "text", "label").collect())
     found = Counter(label for _, _, label in rows)
     return [(text, label) for _, text, label in rows], tuple(count.get(k, 0) / max(found[k], 1) for k in (0, 1))
 
 
-def score_toxicity(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", out: str = "score", carry: list[str] | None = None, text_out: bool = False) -> DataFrame:
-    """(id, *carry, score), with text_out also the text, last but one: the probability that each row's whole text is toxic. Null and empty texts get the score of a text
-    without evidence; null ids and repeated rows stay; an empty table gives no rows."""
+def scorer(df: DataFrame, model: ToxicityModel):
+    """A function of a text column: the probability that each whole text is toxic. Only texts go to Python, and only numbers come back.
+    Null and empty texts get the score of a text without evidence."""
+    small_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
-    keep = list(carry or [])
-    data = df.select(id_col, *keep, F.col(text_col).alias("__text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = held.value
-        for b in batches:
-            scores = [m.score(t.as_py()) for t in b.column(b.num_columns - 1)]
-            kept = b.num_columns - (not text_out)
-            yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(scores, pa.float64())], [*b.schema.names[:kept], out])
+        for texts in parts:
+            yield pa.array([m.score(t.as_py()) for t in texts], pa.float64())
 
-    fields = data.schema.fields if text_out else data.schema.fields[:-1]
-    schema = StructType([*fields, StructField(out, DoubleType())])
-    return data.mapInArrow(run, schema).withColumnRenamed("__text", text_col)
+    return score
 
 
-def toxicity(df: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, most: int = 3000, chars: int = 20_000) -> DataFrame:
+def toxicity(df: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, most: int = 3000) -> DataFrame:
     """(id, score, predicted) of every row; learns from the labelled rows whose id meets ``train`` (all, if None).
 
-    The fit takes at most ``most`` rows of each class. A label other than 0 and 1, or null, is not used.
+    The fit takes at most ``most`` rows of each class, drawn by hash, whole. A label other than 0 and 1, or null, is not used; of several
+    labels of one id, 1 counts. Null and empty texts get the score of a text without evidence; null ids and repeated rows stay; an
+    empty table gives no rows; other columns are not read.
     """
-    model = fit_toxicity(*labelled_sample(df, labels if train is None else labels.filter(train), id_col, text_col, label_col, most, chars))
-    return score_toxicity(df, model, id_col, text_col).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    model = fit_toxicity(*labelled_sample(df, labels if train is None else labels.filter(train), id_col, text_col, label_col, most))
+    scored = df.select(F.col(id_col), scorer(df, model)(F.col(text_col)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

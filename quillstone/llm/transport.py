@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._scratch import small_batches
+
 PACKET, BODY = 188, 184
 PAT_PID, PMT_PID, MEDIA_PID, PROGRAM, PRIVATE = 0, 0x100, 0x101, 1, 0x06
 UNIT, EVERY, TICKS = 2304, 4, 3600
@@ -214,6 +216,7 @@ def media_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(zip(*out), kinds))], names)
 
     names = ["id", "n_bytes", "media", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "times", "access"]
+    small_batches(df.sparkSession)
     data = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = data.schema["id"].dataType.simpleString()
     return data.mapInArrow(run, f"id {kind}, n_bytes long, media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, times array<long>, access array<long>").withColumnRenamed("id", id_col)
