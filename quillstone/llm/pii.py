@@ -212,27 +212,33 @@ def _listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda c: F.concat_ws(":", c["kind"], c["start"].cast("string"), c["end"].cast("string"))), ",")
 
 
+def _apart(df: DataFrame, text_col: str) -> DataFrame:
+    """The rows as one column ``row`` and the text beside it, so that no name of the caller's meets one of the columns in use here."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text_col).alias("text"))
+
+
 def personal_data(df: DataFrame, model: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row.
 
     The counts and base_sha256 are of the base spans, ``spans`` lists all. Null and empty texts have none (zero counts, the digest of
-    the empty string, an empty list); null ids and repeated rows stay; an empty table gives no rows and fits nothing.
+    the empty string, an empty list); null ids and repeated rows stay; an empty table gives no rows and fits nothing. Other columns are
+    not read, whatever their names.
     """
     model = fit(df, text_col) if model is None else model
-    found = with_spans(df.select(F.col(id_col), F.col(text_col)), text_col, model).withColumnRenamed("__spans", "found")
+    found = with_spans(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", model).withColumnRenamed("__spans", "found")
     base = F.filter("found", lambda c: c["base"])
     of = lambda k: F.filter(base, lambda c: c["kind"] == k)
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select(id_col, *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"))
+    return found.select(F.col("id").alias(id_col), *counts, F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"))
 
 
 def redact(df: DataFrame, model: dict[str, float] | None = None, text_col: str = "text") -> DataFrame:
     """The table with every span replaced by <KIND>; of overlapping spans, the first is replaced as far as they reach. Texts without
-    spans, null ones among them, stay as they are."""
+    spans, null ones among them, stay as they are, and so do all other columns, whatever their names."""
     model = fit(df, text_col) if model is None else model
-    text = F.col(text_col)
-    df = with_spans(df, text_col, model)
+    text = F.col("text")
     found = F.array_sort(F.transform("__spans", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
+    out = with_spans(_apart(df, text_col), "text", model).withColumn("__found", found)
     zero = F.struct(F.lit(0).cast("bigint").alias("pos"), F.array().cast("array<string>").alias("out"))
     cut = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
 
@@ -241,4 +247,5 @@ def redact(df: DataFrame, model: dict[str, float] | None = None, text_col: str =
         return F.struct(F.greatest(a["pos"], c["end"]).alias("pos"), F.when(c["start"] >= a["pos"], new).otherwise(a["out"]).alias("out"))
 
     whole = F.aggregate("__found", zero, step, lambda a: F.array_join(F.concat(a["out"], F.array(cut(a["pos"], F.length(text).cast("bigint")))), ""))
-    return df.withColumn("__found", found).withColumn(text_col, F.when(F.size("__found") > 0, whole).otherwise(text)).drop("__found", "__spans")
+    changed = F.when(F.size("__found") > 0, whole).otherwise(text)
+    return out.select(*(changed.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns))
