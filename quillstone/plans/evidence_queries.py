@@ -184,12 +184,17 @@ def hybrid_recall(spark, sf_dir) -> DataFrame:
     return recall.hybrid_recall(q, claims, NOW).select("query_id", "id", "verdict", "confidence", "score", F.col("rank").cast("long").alias("rank"))
 
 
-@query()
+@query(f"""WITH ds AS (SELECT doc_id AS id, text FROM documents), {_INDEX}, s AS (SELECT entity, min(id) AS a, max(id) AS b FROM ix GROUP BY entity HAVING count(*) > 1),
+two AS (SELECT min((x.entity, y.entity)) AS e FROM s x JOIN ix p ON p.entity = x.entity JOIN ix q ON q.id = p.id JOIN s y ON y.entity = q.entity AND y.entity > x.entity),
+src AS (SELECT id FROM ix, two WHERE entity = e[1]), dst AS (SELECT id FROM ix, two WHERE entity = e[2])
+SELECT 0::INTEGER AS step, min(id)::VARCHAR AS id FROM src JOIN dst USING (id) HAVING count(*) > 0""")
 def connect_claims(spark, sf_dir) -> DataFrame:
-    """A chain of claims from the first to the last name, in order, that two claims share."""
+    """A chain of claims between the first two names, in order, that some claim holds together and others hold too."""
     index = cut(recall.entity_index(_texts(spark, sf_dir)))
-    ends = recall.neighbours(index).agg(F.min("entity").alias("a"), F.max("entity").alias("b")).first()
-    path = recall.connect(index, [ends["a"]], [ends["b"]]) if ends["a"] is not None else []
+    shared = cut(recall.neighbours(index))
+    both = shared.select("id", F.col("entity").alias("a")).join(shared.select("id", F.col("entity").alias("b")), "id").filter("a < b")
+    ends = both.agg(F.min(F.struct("a", "b")).alias("e")).first()["e"]
+    path = recall.connect(index, [ends["a"]], [ends["b"]]) if ends is not None else []
     return spark.createDataFrame([(i, str(x)) for i, x in enumerate(path)], "step int, id string")
 
 
@@ -280,10 +285,10 @@ def decompose_questions(spark, sf_dir) -> DataFrame:
 
 @query()
 def research_question(spark, sf_dir) -> DataFrame:
-    """The first benchmark item, researched over the corpus."""
+    """All benchmark items as the parts of one question, researched over the corpus."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    question = table(spark, sf_dir, "benchmark").orderBy("item_id").select("text").first()
-    result = research.research(question["text"] if question else "", docs, verify.corpus_gatherer(docs), "quick")
+    texts = [r["text"] for r in table(spark, sf_dir, "benchmark").orderBy("item_id").select("text").collect() if r["text"]]
+    result = research.research("the benchmark", docs, verify.corpus_gatherer(docs), "quick", planner=lambda *_: research.distinct_texts(texts))
     return spark.createDataFrame([(s["text"], s["status"], (s["verdict"] or {}).get("verdict"), s["attempts"]) for s in result.questions], "sub_question string, status string, verdict string, attempts int")
 
 

@@ -90,7 +90,7 @@ def atomize_claims(spark, sf_dir) -> DataFrame:
     return a.select("id.conv_id", "id.turn", F.col("pos").cast("long").alias("pos"), "claim_id", "claim", T.volatility(F.col("claim")).alias("volatility"))
 
 
-_CUED = "CASE doc_id % 4 WHEN 0 THEN 'The stock price of ' WHEN 1 THEN 'RFC 9110 was founded in ' WHEN 2 THEN 'The shares' ELSE 'Plants ' END || left(text, 40)"
+_CUED = "CASE doc_id % 4 WHEN 0 THEN 'The stock price of ' WHEN 1 THEN 'RFC 9110 was founded in ' WHEN 2 THEN 'The shares' ELSE 'Plants ' END || text"
 _SEEN = f"CASE WHEN doc_id % 9 = 0 THEN 0 ELSE {NOW} - (doc_id % 400) * 7200000 END"
 
 
@@ -101,10 +101,10 @@ def freshness(spark, sf_dir) -> DataFrame:
     return d.select("doc_id", "volatility", T.is_fresh(F.col("seen"), F.col("volatility"), F.lit(NOW)).alias("fresh"))
 
 
-@query(f"""SELECT doc_id, {S.truncated('text', 40)} AS cut, left(sha256(text), 13) AS id, left(trim(regexp_replace(left(text, 200), '[\\\\/:*?"<>|#^\\[\\]]', '-', 'g')), 100) AS name FROM documents""")
+@query(f"""SELECT doc_id, {S.truncated('text', 40)} AS cut, left(sha256(text), 13) AS id, left(trim(regexp_replace(text, '[\\\\/:*?"<>|#^\\[\\]]', '-', 'g')), 100) AS name FROM documents""")
 def short_names(spark, sf_dir) -> DataFrame:
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", T.truncate(t, 40).alias("cut"), T.short_id(t).alias("id"), T.safe_name(F.left(t, F.lit(200))).alias("name"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.truncate(t, 40).alias("cut"), T.short_id(t).alias("id"), T.safe_name(t).alias("name"))
 
 
 # Pages with dates in every place, made from orders: the same expressions in both dialects.

@@ -1,4 +1,4 @@
-"""Queries against their SQL at the smallest scale: a few by default, all with ALL_QUERIES=1."""
+"""Queries against their SQL at sf0.01: those of the store, quotations and circles and a few others, all with ALL_QUERIES=1."""
 
 import os
 
@@ -7,8 +7,8 @@ import pytest
 
 from quillstone.plans.catalog import QUERIES, SQL
 
-DIR = "/root/testdata/sf0.001"
-FEW = ("shingle_counts", "sentences", "entities", "page_text", "atomize_claims", "adjudicate", "gap_queries")
+DIR = "/root/testdata/sf0.01"
+FEW = ("shingle_counts", "sentences", "entities", "page_text", "atomize_claims", "adjudicate", "gap_queries", "resolve_dates", "assess_credibility", "claims_upsert", "recall_claims", "store_find", "store_stats", "admit_citations", "phantom_rate", "connect_claims")
 
 
 def rows(names, data):
