@@ -33,7 +33,7 @@ from ._scratch import Scratch
 RARE, BEGIN, FREQUENT = 65534, 65535, 65534
 _END = np.uint64(0x5EED0F7E57E4D000)
 _STEP = 4096.0
-_BLOCK = 1 << 16
+_BLOCK = 1 << 12
 #: In place of a batch, for rows that bring counts of words.
 COUNTS = (1 << 63) - 1
 
@@ -58,10 +58,13 @@ def unpack(blob: bytes) -> dict[str, np.ndarray]:
 
 
 class EliasFano:
-    """A non-decreasing sequence: low bits packed, high parts in unary, and the place of every 65536th element."""
+    """A non-decreasing sequence: low bits packed, high parts in unary, and the place of every 4096th element. Only blocks that can hold
+    what is asked for are decoded."""
 
     def __init__(self, n: int, bits: int, low, high, samples):
         self.n, self.bits, self.low, self.high, self.samples = n, bits, low, high, samples
+        #: a block's first high part: what its first place leaves without the ones before it
+        self.heads = np.asarray(samples) - np.arange(len(samples)) * _BLOCK
 
     @staticmethod
     def encode(values: np.ndarray) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,7 +79,7 @@ class EliasFano:
         return n, bits, low, np.packbits(high, bitorder="little"), places[::_BLOCK]
 
     def block(self, a: int, b: int) -> np.ndarray:
-        """Elements a (a multiple of 65536) to b."""
+        """Elements a (a multiple of 4096) to b."""
         begin = int(self.samples[a // _BLOCK])
         end = int(self.samples[b // _BLOCK]) if b < self.n else len(self.high) * 8
         ones = np.flatnonzero(np.unpackbits(self.high[begin // 8 : -(-end // 8)], bitorder="little")) + begin // 8 * 8
@@ -89,22 +92,42 @@ class EliasFano:
         return out
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
-        """Where each wanted value stands, or -1; values are distinct in the sequence."""
+        """Where each wanted value stands, or -1; values are distinct in the sequence. By successor search: the heads tell the first
+        block that can hold a value; the search goes on in the next one while its values are too small."""
         out = np.full(len(wanted), -1, np.int64)
         order = np.argsort(wanted, kind="stable")
         ordered, at = wanted[order], 0
-        for a in range(0, self.n, _BLOCK):
-            b = min(a + _BLOCK, self.n)
-            values = self.block(a, b)
+        # a value stands before the first block whose head is above its own high part, and not before the last whose head is below
+        high = ordered >> self.bits
+        begins = np.maximum(np.searchsorted(self.heads, high, side="left") - 1, 0)
+        block = 0
+        while at < len(ordered) and self.n:
+            block = max(block, int(begins[at]))
+            a = block * _BLOCK
+            if a >= self.n:
+                break
+            values = self.block(a, min(a + _BLOCK, self.n))
             z = int(np.searchsorted(ordered, values[-1], side="right"))
             if z > at:
                 i = np.searchsorted(values, ordered[at:z])
                 out[order[at:z]] = np.where(values[i] == ordered[at:z], i + a, -1)
                 at = z
+            block += 1
+        return out
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        """The elements at some places."""
+        out = np.zeros(len(places), np.int64)
+        order = np.argsort(places, kind="stable")
+        ordered = places[order]
+        blocks, cut = np.unique(ordered // _BLOCK, return_index=True)
+        for k, i, j in zip(blocks.tolist(), cut, [*cut[1:], len(ordered)]):
+            a = k * _BLOCK
+            out[order[i:j]] = self.block(a, min(a + _BLOCK, self.n))[ordered[i:j] - a]
         return out
 
     def all(self) -> np.ndarray:
-        return np.concatenate([self.block(a, min(a + _BLOCK, self.n)) for a in range(0, self.n, _BLOCK)]) if self.n else np.zeros(0, np.int64)
+        return self.at(np.arange(self.n))
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -165,8 +188,8 @@ class Trie:
         successor[there] = self._get("successors").find(root[there] * self.width + w[there])
         context[there] = self._get("contexts").find(root[there] * self.width + u[there])
         both = (successor >= 0) & (context >= 0)
-        first = self._get("first").all()
-        ranked[both] = self._get("ranks").find(context[both] * self.stride + successor[both] - first[root[both]])
+        first = self._get("first").at(root[both])
+        ranked[both] = self._get("ranks").find(context[both] * self.stride + successor[both] - first)
         known = lambda codes, at: -codes[np.maximum(at, 0)].astype(float) / _STEP if len(codes) else np.zeros(len(at))
         two = np.where(successor >= 0, known(self._get("p2"), successor), self.back2[v] + self.unigram[w])
         return np.where(ranked >= 0, known(self._get("p3"), ranked), two + np.where(context >= 0, known(self._get("back"), context), 0.0))
