@@ -10,6 +10,7 @@ each shard orders its blocks by a key of its own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,6 +59,40 @@ def targets(per_source: DataFrame, share: float, most: float, pattern: tuple[flo
     return t.select("source", "source_size", F.coalesce(F.least(F.col("cap"), level["level"] * F.col("weight")), "cap").alias("target"))
 
 
+def hypergeometric(good: int, bad: int, drawn: int, rng: np.random.Generator) -> int:
+    """How many of ``drawn`` balls are good. From 10^9 on, where numpy's draw ends, by rejection from a ratio of uniforms: points
+    under the root of the distribution, in a box around its mode."""
+    total = good + bad
+    if total < 10**9:
+        return int(rng.hypergeometric(good, bad, drawn)) if total and drawn else 0
+    least, most = max(0, drawn - bad), min(good, drawn)
+    if least == most:
+        return least
+    share = good / total
+    mean, variance = drawn * share, drawn * share * (1 - share) * ((total - drawn) / (total - 1))
+    mode = min(max((drawn + 1) * (good + 1) // (total + 2), least), most)
+
+    def log_weight(k: int) -> float:
+        return -sum(math.lgamma(x + 1) for x in (k, good - k, drawn - k, bad - drawn + k))
+
+    top, wide = log_weight(mode), 2 * math.sqrt(2 / math.e) * math.sqrt(variance + 0.5) + 3 - 2 * math.sqrt(3 / math.e)
+    while True:
+        u, v = rng.random(), rng.random()
+        k = math.floor(mean + 0.5 + wide * (v - 0.5) / u) if u else -1
+        if least <= k <= most and 2 * math.log(u) <= log_weight(k) - top:
+            return k
+
+
+def multivariate(quotas: np.ndarray, drawn: int, rng: np.random.Generator) -> np.ndarray:
+    """A multivariate-hypergeometric draw, source by source of what is left."""
+    out, left = np.zeros_like(quotas), int(quotas.sum())
+    for i, q in enumerate(quotas.tolist()):
+        left -= q
+        out[i] = hypergeometric(q, left, drawn, rng)
+        drawn -= int(out[i])
+    return out
+
+
 def split(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
     """shards x sources: the splitting tree's leaves. Each row's sum differs from the others' by at most one."""
     if shards == 1:
@@ -65,7 +100,7 @@ def split(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarr
     left = shards // 2
     total = int(quotas.sum())
     mine = total * left // shards
-    drawn = rng.multivariate_hypergeometric(quotas, mine, method="marginals") if total else quotas
+    drawn = multivariate(quotas, mine, rng)
     return np.concatenate([split(drawn, left, rng), split(quotas - drawn, shards - left, rng)])
 
 
