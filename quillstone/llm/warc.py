@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import posixpath
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,6 +45,7 @@ def _header(value: object) -> str:
 
 
 def _unheader(value: str) -> str:
+    """What ``_header`` escaped; only called for records that say so."""
     if "%" not in value:
         return value
     raw, out, i = value.encode(), bytearray(), 0
@@ -57,11 +59,21 @@ def _unheader(value: str) -> str:
     return out.decode()
 
 
+#: Marks records whose header values are escaped; others are read as they stand.
+ESCAPED = "X-Escaped-Headers"
+
+
 def record(fields: dict, payload: bytes) -> bytes:
-    lines = [b"WARC/1.1"]
+    """A record's bytes. Values that would not stand on a line are escaped, and the record says so."""
+    lines, escaped = [b"WARC/1.1"], False
+    for column, header in HEADERS.items():
+        if fields.get(column) is not None:
+            escaped |= _header(fields[column]) != str(fields[column])
+    if escaped:
+        lines.append(f"{ESCAPED}: 1".encode())
     for column, header in HEADERS.items():
         if fields.get(column) is not None:
-            lines.append(f"{header}: {_header(fields[column])}".encode())
+            lines.append(f"{header}: {_header(fields[column]) if escaped else fields[column]}".encode())
     lines.append(f"Content-Length: {len(payload)}".encode())
     return b"\r\n".join(lines) + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
@@ -75,8 +87,10 @@ def records(f, wanted, payload: bool) -> Iterator[tuple[dict, bytes | None]]:
             raise ValueError(f"no WARC record at byte {f.tell() - len(line)}")
         headers = {}
         while (line := f.readline()).strip():
-            name, _, value = line.decode().partition(":")
-            headers[name.strip().lower()] = _unheader(value.strip())
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            headers[name.strip().lower()] = value.strip()
+        if ESCAPED.lower() in headers:
+            headers = {k: _unheader(v) for k, v in headers.items()}
         size = int(headers["content-length"])
         if not wanted(headers):
             f.seek(size, 1)
@@ -117,7 +131,7 @@ class _Reader(DataSourceReader):
         fs, path = filesystem(self.options["path"])
         if fs.get_file_info(path).type == pafs.FileType.File:
             return [_Archive(path)]
-        found = [x.path for x in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if x.path.endswith(".warc")]
+        found = [x.path for x in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if x.path.endswith((".warc", ".warc.gz"))]
         return [_Archive(x) for x in sorted(found)] or [_Archive("")]
 
     def _wanted(self, headers: dict) -> bool:
@@ -142,7 +156,7 @@ class _Reader(DataSourceReader):
 
         rows, size = [], 0
         with fs.open_input_file(partition.path) as raw:
-            for headers, body in records(_Buffered(raw), self._wanted, payload and "payload" in names):
+            for headers, body in records(_Inflated(raw) if partition.path.endswith(".gz") else _Buffered(raw), self._wanted, payload and "payload" in names):
                 rows.append(tuple(value(n, headers, body) for n in names))
                 size += 500 + len(body or b"")
                 if size > 8 << 20:
@@ -158,11 +172,14 @@ class _Buffered:
     def __init__(self, f, chunk: int = 1 << 20):
         self.f, self.chunk, self.held, self.at, self.base = f, chunk, b"", 0, 0
 
+    def _read(self, place: int) -> bytes:
+        self.f.seek(place)
+        return self.f.read(self.chunk)
+
     def _more(self) -> bool:
         self.base += self.at
         self.held, self.at = self.held[self.at :], 0
-        self.f.seek(self.base + len(self.held))
-        got = self.f.read(self.chunk)
+        got = self._read(self.base + len(self.held))
         self.held += got
         return bool(got)
 
@@ -191,6 +208,37 @@ class _Buffered:
         return self.base + self.at
 
 
+class _Inflated(_Buffered):
+    """The same over gzip members one after another. What is stepped over is inflated, but not kept."""
+
+    def __init__(self, f, chunk: int = 1 << 20):
+        super().__init__(f, chunk)
+        self.raw, self.inflate, self.rest = 0, zlib.decompressobj(31), b""
+
+    def _read(self, place: int) -> bytes:
+        while True:
+            if not self.rest:
+                self.f.seek(self.raw)
+                self.rest = self.f.read(self.chunk)
+                self.raw += len(self.rest)
+                if not self.rest:
+                    return self.inflate.decompress(b"", self.chunk)
+            got = self.inflate.decompress(self.rest, self.chunk)
+            self.rest = self.inflate.unconsumed_tail
+            if self.inflate.eof:
+                self.rest, self.inflate = self.inflate.unused_data, zlib.decompressobj(31)
+            if got:
+                return got
+
+    def seek(self, n: int, whence: int) -> None:
+        while self.at + n > len(self.held):
+            n -= len(self.held) - self.at
+            self.at = len(self.held)
+            if not self._more():
+                return
+        self.at += n
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), schema)], schema=schema)
 
@@ -292,22 +340,32 @@ def archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str =
 
 
 def archived(spark: SparkSession, path: str) -> DataFrame:
-    """The archives' records, payloads checked: (page_id, payload_bytes, payload_digest, record_type, refers_to). For responses, size
-    and digest are of the payload as read back; a revisit has them from its headers, which name those of the record it refers to."""
+    """The archives' records: (page_id, payload_bytes, payload_digest, record_type, refers_to). For responses, size and digest are of
+    the payload as read back, and a digest other than the header's raises an error; a revisit has both from its headers, which name
+    those of the record it refers to. Digests may have the algorithm before them; only SHA-256 in hexadecimal is checked. An id that is
+    no number reads as null; an archive without records gives no rows."""
     register(spark)
     r = spark.read.format("warc").option("path", path).load()
     own = F.col("record_type") == "response"
+    said = F.lower(F.regexp_replace("payload_digest", "(?i)^sha-?256:", ""))
+    digest = F.sha2("payload", 256)
+    broken = F.rlike(said, F.lit("^[0-9a-f]{64}$")) & (said != digest)
+    checked = F.when(broken, F.raise_error(F.concat(F.lit("payload of another digest: "), F.col("record_id"))).cast("string")).otherwise(digest)
     return r.select(
         F.expr("try_cast(record_id as long)").alias("page_id"),
         F.when(own, F.length("payload").cast("long")).otherwise(F.col("full_length")).alias("payload_bytes"),
-        F.when(own, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        F.when(own, checked).otherwise(said).alias("payload_digest"),
         "record_type",
         F.col("refers_to").cast("long").alias("refers_to"),
     )
 
 
 def round_trip(pages: DataFrame, **names: str) -> DataFrame:
-    """Writes the pages to archives in the shared folder and reads them back."""
+    """Writes the pages to archives in the shared folder and reads them back, a row for each page.
+
+    Null html is an empty payload, and payloads of fewer than 100 bytes are all responses. Of repeated rows of a page whose payload another
+    page with a smaller id has, all revisit that one; repeated rows of the page with the smallest id are all responses. A null id is
+    a response, and reads back as null. An empty table gives no rows; other columns are not read."""
     path = new_path(pages.sparkSession, "warc")
     archive(pages, path, **names)
     return archived(pages.sparkSession, path)
