@@ -81,9 +81,10 @@ def fit_quality(rows: list[tuple[str | None, int]], shares: tuple[float, float])
     return QualityModel(_logistic(x, np.array([label for _, label in rows], float), weight, ridge=0.05), base)
 
 
-def posteriors(scored: DataFrame, base: float) -> DataFrame:
-    """(host, path, prior): each path's posterior rate, by grouped aggregation from rows (host, path, p, label)."""
-    evidence = F.coalesce(F.col("label").cast("double"), F.col("p"))
+def posteriors(scored: DataFrame, base: float) -> tuple[DataFrame, float, float]:
+    """((host, path, n, s, hn, hs), a, b): rows and summed evidence of each path and of its host, by grouped aggregation from rows (host,
+    path, p, e), e the evidence; and the strengths by which hosts are shrunk toward the base, and paths toward hosts."""
+    evidence = F.col("e")
     paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(evidence).alias("s"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
 
@@ -97,10 +98,15 @@ def posteriors(scored: DataFrame, base: float) -> DataFrame:
         return float(min(max(noise / between - 1, 2.0), 1e4))
 
     a = strength(hosts, F.lit(base))
-    host = hosts.select(F.col("host").alias("of"), ((F.col("s") + a * base) / (F.col("n") + a)).alias("host_rate"))
-    both = paths.join(host, F.col("host").eqNullSafe(F.col("of"))).select("host", "path", "n", "s", "host_rate")
-    b = strength(both, F.col("host_rate"))
-    return both.select("host", "path", ((F.col("s") + b * F.col("host_rate")) / (F.col("n") + b)).alias("prior"))
+    host = hosts.select(F.col("host").alias("of"), F.col("n").alias("hn"), F.col("s").alias("hs"))
+    both = paths.join(host, F.col("host").eqNullSafe(F.col("of"))).select("host", "path", "n", "s", "hn", "hs")
+    return both, a, strength(both, (F.col("hs") + a * base) / (F.col("hn") + a))
+
+
+def left_out(base: float, a: float, b: float) -> Column:
+    """The posterior of a row's path without the row itself, so that no label is used to score its own row."""
+    host = (F.col("hs") - F.col("e") + a * base) / (F.col("hn") - 1 + a)
+    return (F.col("s") - F.col("e") + b * host) / (F.col("n") - 1 + b)
 
 
 def quality(df: DataFrame, labels: DataFrame, host: Column, path: Column, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.5, most: int = 3000, site_weight: float = 0.5) -> DataFrame:
@@ -126,10 +132,11 @@ def quality(df: DataFrame, labels: DataFrame, host: Column, path: Column, train:
 
     scored = Scratch(df.sparkSession, "quality").keep(data.mapInArrow(run, "id long, host string, path string, p double"))
     truth = known.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
-    sites = posteriors(scored.join(truth, "id", "left"), model.base)
+    scored = scored.join(truth, "id", "left").withColumn("e", F.coalesce(F.col("label").cast("double"), F.col("p")))
+    sites, a, b = posteriors(scored, model.base)
     joined = scored.alias("d").join(sites.alias("s"), F.col("d.host").eqNullSafe(F.col("s.host")) & F.col("d.path").eqNullSafe(F.col("s.path")))
     logit = lambda c: F.log(c / (1 - c))
-    prior = F.least(F.greatest(F.col("prior"), F.lit(1e-6)), F.lit(1 - 1e-6))
+    prior = F.least(F.greatest(left_out(model.base, a, b), F.lit(1e-6)), F.lit(1 - 1e-6))
     p = F.least(F.greatest(F.col("p"), F.lit(1e-12)), F.lit(1 - 1e-12))
     score = 1 / (1 + F.exp(-(logit(p) + site_weight * (logit(prior) - math.log(model.base / (1 - model.base))))))
     return joined.select(F.col("id").alias(id_col), F.col("p").alias("doc_score"), prior.alias("site_prior"), score.alias("score")).withColumn("kept", F.col("score") >= threshold)
