@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ._scratch import small_batches
 
-#: The byte-level pre-tokenizer's rule, white space by its Unicode property.
+#: The rule of the byte-level pre-tokenizer, for files that name it; white space by its Unicode property.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 _workers: dict = {}
 
@@ -30,6 +30,8 @@ def merger(path: str):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
     vocab, merges = model["vocab"], ["".join(m if isinstance(m, list) else m.split(" ")) for m in model.get("merges", [])]
@@ -44,12 +46,23 @@ def merger(path: str):
     return library, lambda piece: len(library.encode(piece, add_special_tokens=False).ids)
 
 
+def byte_level(path: str) -> bool:
+    """Whether the file cuts texts by the byte-level rule and nothing else: no normalizer, no added space, and added tokens that stand as
+    they are. Texts of other tokenizers are encoded whole by the library."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    cut = said.get("pre_tokenizer") or {}
+    whole = all(not any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized")) or not t.get("content") for t in said.get("added_tokens", []))
+    return said.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and whole
+
+
 class Counts(dict):
     """Pre-token to token count; a miss is encoded and kept."""
 
     def __init__(self, path: str, known: dict[str, int], cache: int):
         super().__init__(known)
-        library, self.encode = merger(path)
+        self.library, self.encode = merger(path)
+        library, self.plain = self.library, byte_level(path)
         self.known, self.most = known, cache + len(known)
         self.special = sorted((t.content for t in library.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
@@ -63,6 +76,8 @@ class Counts(dict):
         return n
 
     def count(self, text: str) -> int:
+        if not self.plain:
+            return len(self.library.encode(text, add_special_tokens=False).ids)
         if self.split is None or not any(s in text for s in self.special):
             return sum(map(self.__getitem__, self.pieces.findall(text)))
         return sum(map(self.count_plain, self.split.split(text))) + len(self.split.findall(text))
@@ -79,9 +94,9 @@ def counter(path: str, known: dict[str, int], cache: int) -> Counts:
 
 
 def frequent_pieces(df: DataFrame, text: str, path: str, frequent: int, sample: int) -> dict[str, int]:
-    """The table of tier one, fitted on at most ``sample`` rows; it cannot change any count."""
-    c, seen = Counts(path, {}, 1 << 20), Counter()
-    for row in df.select(F.substring(F.col(text), 1, 4000)).limit(sample).collect():
+    """The table of tier one, fitted on about ``sample`` rows drawn from all partitions, whole; it cannot change any count."""
+    c, seen, rows = Counts(path, {}, 1 << 20), Counter(), df.count()
+    for row in df.select(text).sample(min(1.0, sample / max(rows, 1)), seed=11).limit(2 * sample).toLocalIterator():
         seen.update(c.pieces.findall(row[0] or ""))
     return {p: c[p] for p, _ in seen.most_common(frequent)}
 
