@@ -75,33 +75,44 @@ def tiles(text: np.ndarray, item: np.ndarray, hits: list[tuple[int, int]], seed:
     return out
 
 
-class _Block:
-    """Items of one block, and their seeds in hash order."""
+class _Seeds:
+    """The runs of ``seed`` words of some items, in hash order."""
 
-    def __init__(self, items: list[tuple[int, str]], seed: int):
-        self.ids = [i for i, _ in items]
-        data, at = _text.buffers(pa.array([t for _, t in items], pa.large_string()))
-        self.words, first = words(data, at)
-        self.first, self.seed = first, seed
-        found = [(_runs(self.words[a:b], seed)) for a, b in zip(first, first[1:])]
+    def __init__(self, words: np.ndarray, first: np.ndarray, items: np.ndarray, seed: int):
+        self.seed = seed
+        found = [_runs(words[first[i] : first[i + 1]], seed) for i in items.tolist()]
         hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(found)), [len(x) for x in found])
-        place = np.concatenate([np.arange(len(x)) for x in found]) if found else np.zeros(0, int)
+        item = np.repeat(items, [len(x) for x in found]) if found else np.zeros(0, np.int64)
+        place = np.concatenate([np.arange(len(x)) for x in found]) if found else np.zeros(0, np.int64)
         order = np.argsort(hashes, kind="stable")
         self.hashes, self.item, self.place = hashes[order], item[order], place[order]
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def covers(self, text: np.ndarray, runs: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, float, int]]:
+    def candidates(self, runs: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.seen[(runs >> np.uint64(64 - _BITS)).astype(np.int64)])
+
+
+class _Block:
+    """Items of one block. Those of fewer than ``seed`` words are sought whole: their own length is their seed."""
+
+    def __init__(self, items: list[tuple[int, str]], seed: int):
+        self.ids = [i for i, _ in items]
+        data, at = _text.buffers(pa.array([t for _, t in items], pa.large_string()))
+        self.words, self.first = words(data, at)
+        n = np.minimum(np.diff(self.first), seed)
+        self.seeds = [_Seeds(self.words, self.first, np.flatnonzero(n == k), k) for k in np.unique(n[n > 0]).tolist()]
+
+    def covers(self, seeds: _Seeds, text: np.ndarray, runs: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, float, int]]:
         """(item, coverage, tiles) of each item that shares a seed with the text; at: where runs may be seeds."""
-        left, right = np.searchsorted(self.hashes, runs[at], "left"), np.searchsorted(self.hashes, runs[at], "right")
+        left, right = np.searchsorted(seeds.hashes, runs[at], "left"), np.searchsorted(seeds.hashes, runs[at], "right")
         hits = defaultdict(list)
         for i, a, b in zip(at.tolist(), left.tolist(), right.tolist()):
             for x in range(a, b):
-                hits[int(self.item[x])].append((i, int(self.place[x])))
+                hits[int(seeds.item[x])].append((i, int(seeds.place[x])))
         for item, pairs in hits.items():
             own = self.words[self.first[item] : self.first[item + 1]]
-            found = tiles(text, own, pairs, self.seed)
+            found = tiles(text, own, pairs, seeds.seed)
             yield item, sum(n for _, _, n in found) / len(own), len(found)
 
 
@@ -113,8 +124,8 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = 5, threshold: float = 0.5, block_chars: int = 8_000_000) -> DataFrame:
     """(id, item, coverage, n_tiles), a row for each text and item whose coverage reaches ``threshold``.
 
-    Items of fewer than ``seed`` words, and null ones, match nothing; so do null and empty texts. Repeated rows and items each count
-    for themselves. Items longer than ``block_chars`` form blocks of their own. An empty table on either side gives no rows.
+    Items of fewer than ``seed`` words are sought whole; null ones and those without a word match nothing, and so do null and empty
+    texts. Repeated rows and items each count for themselves; null ids are kept, items without an id left out. Items longer than ``block_chars`` form blocks of their own. An empty table on either side gives no rows.
     """
     spark = df.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text")).filter("item is not null and text is not null")
@@ -133,16 +144,17 @@ def contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", t
             for big in batches:
                 for b in _text.slices(big, 1):
                     h, first = words(*_text.buffers(b.column(1)))
-                    runs = _runs(h, seed)
-                    at = np.flatnonzero(block.seen[(runs >> np.uint64(64 - _BITS)).astype(np.int64)])
-                    row = np.searchsorted(first, at, side="right") - 1
-                    inside = at + seed <= first[row + 1]
-                    at, row = at[inside], row[inside]
                     out = []
-                    for r in np.unique(row).tolist():
-                        a, z = int(first[r]), int(first[r + 1])
-                        mine = at[row == r] - a
-                        out += [(b.column(0)[r].as_py(), block.ids[i], c, n) for i, c, n in block.covers(h[a:z], runs[a:z], mine) if c >= threshold]
+                    for seeds in block.seeds:
+                        runs = _runs(h, seeds.seed)
+                        at = seeds.candidates(runs)
+                        row = np.searchsorted(first, at, side="right") - 1
+                        inside = at + seeds.seed <= first[row + 1]
+                        at, row = at[inside], row[inside]
+                        for r in np.unique(row).tolist():
+                            a, z = int(first[r]), int(first[r + 1])
+                            mine = at[row == r] - a
+                            out += [(b.column(0)[r].as_py(), block.ids[i], c, n) for i, c, n in block.covers(seeds, h[a:z], runs[a:z], mine) if c >= threshold]
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], ["id", "item", "coverage", "n_tiles"])
 
