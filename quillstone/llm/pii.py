@@ -31,12 +31,23 @@ LOOSE = {
     "email": rf"(?<!{_NAME}){_NAME}{{1,64}} ?[(\[]at[)\]] ?[A-Za-z0-9-]{{1,63}}(?: ?(?:[(\[]dot[)\]]|\.) ?[A-Za-z0-9-]{{1,63}}){{1,8}}",
     "phone": r"(?=[0-9(])(?<![0-9.+-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9.-])",
 }
-DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk")
+# --- fixed values of the gazetteer: generic endings of domains (any two letters are a country's), ends of made-up domains, ranges of
+# addresses that are no host's (RFC 6890) or private, prefixes of card issuers, calling codes of countries ---
+DOMAINS = (
+    "aero", "app", "biz", "blog", "cat", "cloud", "com", "coop", "dev", "edu", "email", "eu", "gov", "info", "int", "jobs", "mil", "mobi",
+    "museum", "name", "net", "news", "online", "org", "page", "post", "pro", "shop", "site", "store", "tech", "tel", "travel", "web", "xyz",
+)
+MADE_UP = r"(?:^|[@.])(?:example\.(?:com|net|org)|test|invalid|localhost|local|example)$"
+NO_HOST = r"^(?:0|127|22[4-9]|23[0-9]|24[0-9]|25[0-5]|192\.0\.[02]|198\.51\.100|203\.0\.113|198\.1[89]|169\.254)\."
+PRIVATE = r"^(?:10|192\.168|172\.(?:1[6-9]|2[0-9]|3[01])|100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7]))\."
+ISSUERS = "4|5[1-5]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|3[47]|6011|64[4-9]|65|352[89]|35[3-8]|30[0-5]|3[689]|62|50|5[6-9]|6[0-9]"
+CALLING = "1|7|2[07]|2[1-69][0-9]|3[0-469]|3[578][0-9]|4[013-9]|42[0-9]|5[1-8]|5[09][0-9]|6[0-6]|6[7-9][0-9]|8[1246]|8[0578][0-9]|9[0-58]|9[679][0-9]"
+# --- fixed values of the context: words that stand before personal data, and before numbers that are none (English, German, French, Spanish) ---
 WORDS = {
-    "email": (r"mail|contact|write|address|correo|courriel", r"example of|regex"),
-    "ip": (r"\bip\b|address|host|server|login|from", r"version|release|section|\bv$"),
-    "card": (r"card|visa|master|credit|payment|account|tarjeta|carte|karte", r"isbn|order|serial|\bid\b|token|="),
-    "phone": (r"phone|call|tel|fax|mobile|contact|cell", r"isbn|order|serial|version"),
+    "email": (r"mail|contact|write|address|reach|send|kontakt|schreib|adresse|courriel|contactez|[eé]crire|correo|escrib|direcci[oó]n", r"example of|regex|pattern|beispiel|exemple|ejemplo"),
+    "ip": (r"\bip\b|ipv4|address|host|server|login|logged|from|client|connect|adresse|rechner|serveur|servidor|direcci[oó]n", r"version|release|section|chapter|build|figure|\bv$|fassung|kapitel|chapitre|versi[oó]n|cap[ií]tulo"),
+    "card": (r"card|visa|master|amex|credit|debit|payment|account|pay|karte|zahlung|konto|carte|paiement|compte|tarjeta|pago|cuenta", r"isbn|order|serial|\bid\b|token|=|invoice|tracking|bestell|rechnung|commande|facture|pedido|factura"),
+    "phone": (r"phone|call|tel|fax|mobile|contact|cell|dial|sms|text|whatsapp|ruf|handy|anruf|appel|portable|llam|m[oó]vil", r"isbn|order|serial|version|invoice|bestell|rechnung|commande|facture|pedido|factura"),
 }
 _MARK, _RUN = "\u0001", 256
 
@@ -97,12 +108,14 @@ def _valid(kind: str, found: Column) -> Column:
 def _gazetteer(kind: str, x: Column) -> Column:
     found = F.lower(x["found"])
     if kind == "email":
-        return F.when(F.regexp_extract(found, "([a-z0-9-]+)$", 1).isin(*DOMAINS), 1).otherwise(-1)
+        ending = F.regexp_extract(F.regexp_replace(found, r" ?[(\[](?:dot)[)\]] ?", "."), "([a-z0-9-]+)$", 1)
+        known = ending.isin(*DOMAINS) | F.rlike(ending, F.lit("^[a-z]{2}$"))
+        return F.when(F.rlike(found, F.lit(MADE_UP)), 0).when(known, 1).otherwise(-1)
     if kind == "ip":
-        return F.when(F.rlike(found, F.lit(r"^(?:0|127|255)\.")), -1).when(F.rlike(found, F.lit(r"^(?:10|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.")), 0).otherwise(1)
+        return F.when(F.rlike(found, F.lit(NO_HOST)), -1).when(F.rlike(found, F.lit(PRIVATE)), 0).otherwise(1)
     if kind == "card":
-        return F.when(F.rlike(found, F.lit(r"^(?:4|5[ -]?[1-5]|3[ -]?[47]|6)")), 1).otherwise(-1)
-    return F.when(F.rlike(found, F.lit(r"^\+(?:1|3[0-9]|4[0-9]|[2-9][0-9])")), 1).otherwise(0)
+        return F.when(F.rlike(_digits(found), F.lit(f"^(?:{ISSUERS})")), 1).otherwise(-1)
+    return F.when(F.rlike(found, F.lit("^[+]")) & F.rlike(_digits(found), F.lit(f"^(?:{CALLING})")), 1).when(F.rlike(found, F.lit("^[+]")), -1).otherwise(0)
 
 
 def _context(kind: str, x: Column) -> Column:
