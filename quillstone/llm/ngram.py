@@ -276,7 +276,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield merged()
 
 
-def learn_vocabulary(data: DataFrame, scratch: Scratch, per_shard: int = 1_500_000) -> tuple[Vocabulary, DataFrame]:
+def learn_vocabulary(data: DataFrame, scratch: Scratch, per_shard: int = 700_000) -> tuple[Vocabulary, DataFrame]:
     """Counts every token, in training and in all; only totals and the FREQUENT most frequent words (a bound) reach the driver. The
     table (h, c, t) of all words stays where it is."""
     vocab = scratch.keep(data.select("train", "text").mapInArrow(_counts, "h long, c long, t long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("t").alias("t")))
@@ -409,6 +409,7 @@ def _score(v: Vocabulary, mu: tuple[float, float]):
                     shards[s].append((batch, blob))
         for s in sorted(shards):
             yield from _score_shard(v, mu, s, sorted(shards.pop(s)), counts.pop(s, []))
+            pa.default_memory_pool().release_unused()
 
     return run
 
