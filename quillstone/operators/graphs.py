@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+JUMP_FROM, TRIMS = 4, 3  # rounds: both steer the work only, not the result
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names. One under /tmp serves where it is unset, on one machine only."""
@@ -26,23 +28,40 @@ def _plain(edges: DataFrame) -> DataFrame:
     return edges.select("source", "target").filter("source is not null and target is not null").distinct()
 
 
-def origins(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """(id, origin): for each node that ``starts`` (id) reaches, the least start that does. Least ids travel along edges until none
-    changes, one join and one combined aggregation a round."""
-    edges = cut(_plain(edges))
-    known = cut(starts.select("id", F.col("id").alias("origin")))
+def _spread(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, mark) of nodes (id, mark), each with the least mark that reaches it; the second field of a mark is the id it began at.
+
+    Least marks travel along edges until none changes, one join and one combined aggregation a round. After JUMP_FROM rounds each node
+    also takes the mark of the node that its own mark began at, which reaches it too, so that long chains halve.
+    """
+    known, r = cut(nodes), 0
     while True:
         near = edges.join(known.toDF("source", "via"), "source").groupBy(F.col("target").alias("id")).agg(F.min("via").alias("via"))
-        after = cut(known.join(near, "id", "full").select("id", F.least("origin", "via").alias("next"), "origin"))
-        if after.filter("not (next <=> origin)").isEmpty():
+        after = cut(known.join(near, "id", "left").select("id", F.least("mark", "via").alias("mark"), F.col("mark").alias("was")))
+        if after.filter("mark <> was").isEmpty():
             return known
-        known = after.select("id", F.col("next").alias("origin"))
+        known, r = after.select("id", "mark"), r + 1
+        if r >= JUMP_FROM:
+            there = known.select(F.col("id").alias("begin"), F.col("mark").alias("further"))
+            known = cut(known.join(there, F.col("mark.id") == F.col("begin"), "left").select("id", F.least("mark", "further").alias("mark")))
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array("source", "target")).alias("id"))
+
+
+def origins(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(id, origin): for each node that ``starts`` (id) reaches, the least start that does. Starts mark before all other nodes."""
+    edges = cut(_plain(edges))
+    ranked = _ends(edges).select("id", F.lit(1).alias("rank")).unionByName(starts.select("id", F.lit(0).alias("rank"))).groupBy("id").agg(F.min("rank").alias("rank"))
+    marked = _spread(edges, ranked.select("id", F.struct("rank", "id").alias("mark")))
+    return marked.filter("mark.rank = 0").select("id", F.col("mark.id").alias("origin"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every strongly connected component of more than one node, named by its least member.
 
-    Nodes that lie on no cycle are trimmed first: a node stays while it has both an edge in and an edge out among those that stay.
+    Nodes that lie on no cycle are trimmed first, for a few rounds: a node stays while it has both an edge in and an edge out among those that stay.
     Then, in rounds, every node learns the least id that reaches it (forward) and the least id that it reaches (backward) within
     its current part; nodes whose two agree form that id's component, and the rest is divided by the pair and taken up again.
     """
@@ -67,10 +86,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:
-    n = edges.count()
+    """Edges without some of those on no cycle. A layer goes a round, so what is left of a long chain goes by marks: after TRIMS rounds
+    another follows only where the last took a tenth of the edges."""
+    n, r = edges.count(), 0
     while n:
         edges = cut(edges.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
-        if (m := edges.count()) == n:
+        m, r = edges.count(), r + 1
+        if m == n or (r >= TRIMS and 10 * m > 9 * n):
             break
         n = m
     return edges
@@ -78,13 +100,8 @@ def _trimmed(edges: DataFrame) -> DataFrame:
 
 def _least(edges: DataFrame) -> DataFrame:
     """(id, least) for every node of the edges: the least id that reaches it, itself included."""
-    known = cut(edges.select(F.explode(F.array("source", "target")).alias("id")).distinct().select("id", F.col("id").alias("least")))
-    while True:
-        near = edges.join(known.toDF("source", "via"), "source").groupBy(F.col("target").alias("id")).agg(F.min("via").alias("via"))
-        after = cut(known.join(near, "id", "left").select("id", F.least("least", "via").alias("least"), F.col("least").alias("was")))
-        if after.filter("least <> was").isEmpty():
-            return known
-        known = after.select("id", "least")
+    nodes = _ends(edges).distinct().select("id", F.struct(F.lit(0).alias("rank"), "id").alias("mark"))
+    return _spread(edges, nodes).select("id", F.col("mark.id").alias("least"))
 
 
 def shortest_path(edges: DataFrame, starts: DataFrame, goals: DataFrame, most: int) -> list:

@@ -2,6 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from quillstone.operators import graphs, lineage
 
 WIRE = "officials said on monday that the northern reservoir had reached its lowest level since records began and that restrictions would follow"
@@ -58,16 +60,38 @@ def test_longest_shared_run_against_brute_force():
         assert len((got or "").split()) == longest
 
 
-def test_components_against_brute_force(spark):
+@pytest.mark.parametrize("jump, trims", [(4, 3), (1, 1)])
+def test_components_and_origins_against_brute_force(spark, monkeypatch, jump, trims):
+    monkeypatch.setattr(graphs, "JUMP_FROM", jump)
+    monkeypatch.setattr(graphs, "TRIMS", trims)
     rng = random.Random(3)
-    edges = [(rng.randrange(25), rng.randrange(25)) for _ in range(35)]
-    reach = {(i, i) for i in range(25)} | set(edges)
-    for k in range(25):
+    chain = rng.sample(range(12, 24), 12)
+    edges = [(rng.randrange(12), rng.randrange(12)) for _ in range(16)] + [*zip(chain, chain[1:])]
+    reach = {(i, i) for i in range(24)} | set(edges)
+    for k in range(24):
         reach |= {(a, d) for a, b in reach if b == k for c, d in reach if c == k}
-    want = {i: min(j for j in range(25) if (i, j) in reach and (j, i) in reach) for i in range(25)}
+    want = {i: min(j for j in range(24) if (i, j) in reach and (j, i) in reach) for i in range(24)}
     sizes = [*want.values()]
-    got = graphs.components(spark.createDataFrame(edges, "source int, target int"))
-    assert {r["id"]: r["component"] for r in got.collect()} == {i: c for i, c in want.items() if sizes.count(c) > 1}
+    table = spark.createDataFrame([*edges, edges[0], (None, 1)], "source int, target int")
+    assert {r["id"]: r["component"] for r in graphs.components(table).collect()} == {i: c for i, c in want.items() if sizes.count(c) > 1}
+    starts = [chain[0], 7, 11, 60]
+    got = graphs.origins(table, spark.createDataFrame([(i,) for i in starts], "id int"))
+    reached = {i: min(s for s in starts if (s, i) in reach or s == i) for i in [*range(24), 60] if any((s, i) in reach or s == i for s in starts)}
+    assert sorted(map(tuple, got.collect())) == sorted(reached.items())
+
+
+def test_origins_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(graphs, "cut", lambda df, cut=graphs.cut: cuts.append(1) or cut(df))
+    table = spark.createDataFrame([(i, i + 1) for i in range(64)], "source int, target int")
+    assert {r["origin"] for r in graphs.origins(table, spark.createDataFrame([(0,)], "id int")).collect()} == {0}
+    assert len(cuts) < 24
+
+
+def test_graphs_without_edges(spark):
+    none = spark.createDataFrame([], "source int, target int")
+    assert graphs.components(none).count() == 0
+    assert [tuple(r) for r in graphs.origins(none, spark.createDataFrame([(3,)], "id int")).collect()] == [(3, 3)]
 
 
 def test_minhash_estimates(spark):
