@@ -11,7 +11,7 @@ members of other components are compared with it, and connected components follo
 copy and round. What is left then are buckets of several components, as texts make that are alike but mostly not similar enough. Small
 ones are joined to pairs. The members of large ones are dealt into chunks, and every two chunks of a bucket meet in a tile, in which
 all sets are compared at once by products of blocks of their incidence matrix: only links come out, whatever the bucket's size, and
-no tile holds more than two chunks. So no link between different components is lost.
+no tile holds more than two chunks, which are bounded in texts and in shingles. So no link between different components is lost.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ from ._graph import components
 from ._scratch import Scratch
 
 BANDS, ROWS, ROUNDS, CHUNK, SMALL = 64, 8, 2, 512, 32
+CHUNK_GRAMS = 2_000_000  # shingles in a chunk, 16 MB
 _U32 = np.uint32
 
 
@@ -133,7 +134,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             if split.isEmpty():
                 break
         if r == ROUNDS:
-            size = split.groupBy("key").agg(F.count("*").alias("m"))
+            size = split.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("grams_of_key"))
             sized = scratch.keep(split.join(size, "key"))
             x, y = (sized.filter(f"m <= {SMALL}").select("key", "id", "n", "label").toDF("key", c, f"n_{c}", f"label_{c}") for c in "ab")
             pairs = x.join(y, "key").filter("a < b")
@@ -156,8 +157,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _tiled(members: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
-    """Links (a, b) between different labels within each bucket, of members (key, id, label, m), m the bucket's size."""
-    chunks = F.ceil(F.col("m") / CHUNK).cast("int")
+    """Links (a, b) between different labels within each bucket, of members (key, id, label, m, grams_of_key), the bucket's size in
+    texts and in shingles; both bound a chunk."""
+    chunks = F.greatest(F.ceil(F.col("m") / CHUNK), F.ceil(F.col("grams_of_key") / CHUNK_GRAMS)).cast("int")
     dealt = members.select("key", "id", "label", chunks.alias("g"), F.pmod(F.xxhash64("id"), chunks).cast("int").alias("c"))
     others = F.sequence(F.lit(0), F.col("g") - 1)
     tiles = dealt.select("key", "id", "label", F.explode(F.transform(others, lambda o: F.struct(F.least(o, F.col("c")).alias("i"), F.greatest(o, F.col("c")).alias("j")))).alias("t"))

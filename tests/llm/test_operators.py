@@ -59,9 +59,10 @@ def variants():
     return out + out[:5] + [" ".join(str(rng.randrange(10**6)) for _ in range(40)) for _ in range(20)] + [None, "", "lone", "Lone"]
 
 
-@pytest.mark.parametrize("chunk", [512, 16])
-def test_minhash_against_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk, grams", [(512, 2_000_000), (16, 2_000_000), (512, 900)])
+def test_minhash_against_brute_force(spark, monkeypatch, chunk, grams):
     monkeypatch.setattr(minhash, "CHUNK", chunk)
+    monkeypatch.setattr(minhash, "CHUNK_GRAMS", grams)
     monkeypatch.setattr(minhash, "SMALL", 4)
     texts = numbers(variants())
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(table(spark, texts), k=2).collect()}
