@@ -156,6 +156,28 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r["predicted"] == (r["score"] >= 0.3) for r in got)
 
 
+def _two_languages(n, seed):
+    """(text, toxic, language) of two invented languages, the second a tenth of the texts, its insults stems of ordinary syllables."""
+    r = random.Random(seed)
+    syllables = [[r.choice(a) + r.choice(b) + r.choice(c) for _ in range(40)] for a, b, c in (("bdfgklm", "aei", ["", "n", "r"]), ("prstvz", "ou", ["", "l", "x"]))]
+    insults = [["idiot", "moron", "scum", "trash", "clown"], ["".join(syllables[1][:3]), "".join(syllables[1][3:6])]]
+    for _ in range(n):
+        k, toxic = int(r.random() < 0.1), int(r.random() < 0.5)
+        words = ["".join(r.choice(syllables[k]) for _ in range(r.randint(1, 4))) for _ in range(r.randint(40, 80))]
+        for _ in range(2 * toxic):
+            x = r.choice(insults[k])
+            words[r.randrange(len(words))] = x + (r.choice(syllables[1]) if k else "")
+        yield " ".join(words), toxic, k
+
+
+def test_toxicity_keeps_the_rarer_language():
+    rows = list(_two_languages(3500, 4))
+    model = toxicity.fit_toxicity([(text, toxic) for text, toxic, _ in rows[:2000]])
+    for k in (0, 1):
+        bad, good = ([model.score(text) for text, toxic, lang in rows[2000:] if lang == k and toxic == label] for label in (1, 0))
+        assert np.mean([(x > y) + 0.5 * (x == y) for x in bad for y in good]) > 0.8, k
+
+
 def test_mixing(spark):
     rows = queries.op4_mixing(spark, SF).collect()
     taken, target, size = {}, {}, 0
