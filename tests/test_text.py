@@ -24,6 +24,12 @@ def test_entities(spark):
     assert found == ["Acme Corporation", "NASA", "42 percent", "2024"]
 
 
+def test_entities_of_a_long_run(spark):
+    run = "Retionly " * 20_000 + "and the Titionly."
+    assert value(spark, f"so {run} so", T.entities) == [("Retionly " * 20_000).strip(), "Titionly"]
+    assert value(spark, f"so {run.replace('the ', '')} so", T.entities) == ["Retionly " * 20_000 + "and Titionly"]
+
+
 def test_figures(spark):
     assert value(spark, "reduced by 8% over 12 weeks, 1,200 and 8.0, not 3.1.4", T.figures) == [8.0, 12.0, 1200.0]
 
