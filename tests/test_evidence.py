@@ -76,6 +76,13 @@ def test_recall_and_connections(spark):
     assert recall.connect(index, ["alpha corp"], ["nothing"]) == []
 
 
+def test_every_claim_with_a_name_starts_a_chain(spark):
+    # sixty claims hold two of the asked names, the one that leads on only one of them
+    rows = [*((i, n) for i in range(9, 69) for n in ("alpha", "beta")), (90, "alpha"), (90, "link"), (200, "link"), (200, "gamma"), (1000, "link"), (1000, "gamma")]
+    index = spark.createDataFrame(rows, "id int, entity string")
+    assert recall.connect(index, ["Alpha", "Beta"], ["Gamma"]) == ["90", "200"]
+
+
 def test_adjudication(spark):
     e = [("one", "support", "a"), ("two", "support", "a"), ("two", "support", "b"), ("copies", "support", "a"), ("copies", "support", "c"), ("both", "support", "a"), ("both", "refute", "b"), ("against", "refute", "a")]
     evidence = spark.createDataFrame([(c, s, d, 60, False) for c, s, d in e], "claim string, side string, doc_id string, credibility int, is_primary boolean")
