@@ -76,6 +76,20 @@ def test_recall_and_connections(spark):
     assert recall.connect(index, ["alpha corp"], ["nothing"]) == []
 
 
+def test_search_splits_texts_once(spark, monkeypatch):
+    rows = [(1, "rivers flood rivers"), (1, "rivers flood"), (2, None), (3, ""), (4, "Rivers, (flooding)..."), (None, "flood")]
+    docs, q = spark.createDataFrame(rows, "id int, text string"), spark.createDataFrame([("q", "rivers rivers"), (None, "flood")], "query_id string, query string")
+    small = sorted(map(tuple, recall.bm25(q, docs).collect()), key=str)
+    assert [r[:2] for r in small if r[0]] == [("q", 1), ("q", 4)] and {r[1] for r in small if not r[0]} == {1, None}
+    monkeypatch.setattr(recall, "SENT", 0)
+    assert sorted(map(tuple, recall.bm25(q, docs).collect()), key=str) == small
+    plans = []
+    monkeypatch.setattr(recall, "cut", lambda df, cut=recall.cut: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    found = recall.bm25(q, docs)
+    plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    assert sum(p.count("[^\\p{L}\\p{N}]+") for p in plans) == 2  # queries and texts, each once
+
+
 def test_every_claim_with_a_name_starts_a_chain(spark):
     # sixty claims hold two of the asked names, the one that leads on only one of them
     rows = [*((i, n) for i in range(9, 69) for n in ("alpha", "beta")), (90, "alpha"), (90, "link"), (200, "link"), (200, "gamma"), (1000, "link"), (1000, "gamma")]
