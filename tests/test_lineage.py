@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -94,6 +95,16 @@ def test_graphs_without_edges(spark):
     assert [tuple(r) for r in graphs.origins(none, spark.createDataFrame([(3,)], "id int")).collect()] == [(3, 3)]
 
 
+def test_signatures_are_dealt_out(spark):
+    docs = spark.createDataFrame([(i, f"{WIRE} {i}") for i in range(64)] + [(64, None)], "id int, text string").coalesce(1)
+    s = lineage.minhash_signatures(docs, hashes=3)
+    assert s.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    words = f"{WIRE} 7".split()
+    least = [min(int.from_bytes(hashlib.sha256(f"{i}\0{' '.join(words[j : j + 3])}".encode()).digest()[:4], "little") for j in range(len(words) - 2)) for i in range(3)]
+    found = {r["id"]: r["signature"] for r in s.collect()}
+    assert found[7] == least and found[64] == [0xFFFFFFFF] * 3
+
+
 def test_minhash_estimates(spark):
     docs = spark.createDataFrame([(1, WIRE), (2, WIRE + " soon"), (3, OTHER[0]), (4, "")], "id int, text string")
     s = lineage.minhash_signatures(docs)
