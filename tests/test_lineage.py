@@ -95,6 +95,17 @@ def test_graphs_without_edges(spark):
     assert [tuple(r) for r in graphs.origins(none, spark.createDataFrame([(3,)], "id int")).collect()] == [(3, 3)]
 
 
+def test_texts_are_split_once_for_classes(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(lineage, "cut", lambda df, cut=lineage.cut: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or cut(df))
+    docs = spark.createDataFrame([(1, "a b c a b c d"), (2, "b c a b c d a b c"), (3, "a b"), (4, "A, b!"), (5, ""), (6, None), (7, "a b c")], "id int, text string")
+    classed = lineage.classes(lineage.prepared(docs))
+    plans.append(classed._jdf.queryExecution().optimizedPlan().toString())
+    assert sum(p.count("<[^>]*>") for p in plans) == 2  # in the condition and the value of one column
+    # runs of three of 1 and 2: abc bca cab bcd, and those with cda and dab
+    assert {r["id"]: (r["rep"], r["n"]) for r in classed.collect()} == {1: (1, 4), 2: (2, 6), 3: (3, 1), 4: (3, 1), 5: (5, 0), 6: (6, 0), 7: (7, 1)}
+
+
 def test_signatures_are_dealt_out(spark):
     docs = spark.createDataFrame([(i, f"{WIRE} {i}") for i in range(64)] + [(64, None)], "id int, text string").coalesce(1)
     s = lineage.minhash_signatures(docs, hashes=3)
